@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import language_id
+from graphloom.llm import decontaminate, language_id, simhash_forest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +19,16 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_forest.groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op3_language_id": op3_language_id}
+    return {f.__name__: f for f in (op3_language_id, op4_decontaminate, op6_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
