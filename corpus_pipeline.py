@@ -2,21 +2,59 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import language_id
+from graphloom.llm import decontaminate, language_id, simhash_forest, source_mixing, substring_dedup
+from graphloom.llm.common import remove, shared_folder
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in no known language go: null, empty and letterless texts, and those that no language's reference explains."""
     return language_id.accepted(docs)
 
 
-STAGES = [("language_id", known_language)]
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the smallest id stays."""
+    return simhash_forest.deduplicated(docs)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more stay where they occur first; documents that have nothing else go."""
+    return substring_dedup.cleaned(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of benchmark items go, and documents that have nothing else."""
+    return decontaminate.cleaned(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document gets its rate and copies; with the smallest rate at 1, none goes."""
+    return source_mixing.weighted(docs)
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("near_duplicates", one_of_each_group),
+    ("substring_dedup", without_repeats),
+    ("decontamination", without_benchmark),
+    ("source_mixing", mixed),
+]
+#: No stage but the last could be written in SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents, each written to the shared folder and read again. The last of these tables stays for the result to read."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    at, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
+    for name, stage in STAGES[:-1]:
+        path = f"{at}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
