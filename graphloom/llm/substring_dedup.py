@@ -28,9 +28,11 @@ from graphloom.llm.decontaminate import replaced
 
 WINDOW = 50
 SEED = 8
-HOT = 50_000
+HOT = 20_000
+#: Neighbours compared at once.
+STEP = 20_000
 #: Windows that one bucket takes.
-BUCKET = 400_000
+BUCKET = 200_000
 _PLACE = 28
 
 
@@ -78,11 +80,17 @@ def _minimise(window: int, seed: int):
     return run
 
 
+def _listed(column: pa.Array, names: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A column of lists of structs as each row's range and the fields' values."""
+    values = column.flatten()
+    return np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())]), [values.field(x).to_numpy(zero_copy_only=False) for x in names]
+
+
 def _pack(buckets: int, window: int, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = utf8(b.column(2))
-            listed = b.column(3).to_pylist()
+            edges, listed = _listed(b.column(3), ("m", "s", "n", "c"))
             for lo, hi, words in pieces(data, offsets):
                 low = fold(words.data)
                 inside = WORD[low]
@@ -95,10 +103,9 @@ def _pack(buckets: int, window: int, hot: int):
                 rows, bucket, first, count, text = [], [], [], [], []
                 for d in range(lo, hi):
                     base = int(words.lo[d - lo])
-                    for x in listed[d]:
-                        s, n, c = x["s"], x["n"], x["c"]
+                    for m, s, n, c in zip(*[x[edges[d] : edges[d + 1]].tolist() for x in listed], strict=True):
                         if c <= hot:
-                            parts = [(x["m"], s, n)]
+                            parts = [(m, s, n)]
                         else:
                             own = mix(join(words.hash[base + s : base + s + n + window - 1], window)).view(np.int64).tolist()
                             parts = [(own[k], s + k, 1) for k in range(n)]
@@ -122,27 +129,32 @@ def _count(window: int, kind: pa.DataType):
         once[1:] = np.any([c[1:] != c[:-1] for c in codes], axis=0)
         bucket = bucket.filter(pa.array(once)).combine_chunks()
         data, offsets = utf8(bucket.column("t").cast(pa.string()))
-        words = Words(data, offsets)
         n = bucket.column("n").to_numpy()
-        if not ((words.hi - words.lo) == n + window - 1).all():
+        parts = [(offsets[lo], words) for lo, _, words in pieces(data, offsets)]
+        start, end, h = (np.concatenate(x) for x in ([words.start + at for at, words in parts], [words.end + at for at, words in parts], [words.hash for _, words in parts]))
+        del parts
+        lo = np.searchsorted(start, offsets)
+        if not (np.diff(lo) == n + window - 1).all():
             raise AssertionError("a packed string's words don't match its windows")
         owner = np.repeat(np.arange(len(n)), n)
-        at = words.lo[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        print_ = join(words.hash, window)[at]
+        at = lo[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        print_ = join(h, window)[at]
         order = np.argsort(print_, kind="stable")
         same = np.zeros(len(order), bool)
         same[1:] = print_[order[1:]] == print_[order[:-1]]
-        raw = words.data.tobytes()
-        start, end = words.start[at], words.end[at + window - 1]
+        del print_, h
+        raw = data.tobytes()
+        start, end = start[at], end[at + window - 1]
         a, b = order[np.flatnonzero(same) - 1], order[same]
-        for x, y, z, w in zip(start[a].tolist(), end[a].tolist(), start[b].tolist(), end[b].tolist(), strict=True):
-            if raw[x:y] != raw[z:w]:
-                return _by_text(bucket, raw, start, end, owner, at - words.lo[owner], window)
+        for k in range(0, len(a), STEP):
+            x, y = a[k : k + STEP], b[k : k + STEP]
+            if any(raw[p:q] != raw[r:t] for p, q, r, t in zip(start[x].tolist(), end[x].tolist(), start[y].tolist(), end[y].tolist(), strict=True)):
+                return _by_text(bucket, raw, start, end, owner, at - lo[owner], window)
         later = np.zeros(len(order), bool)
         later[order[same]] = True
         again = later.copy()
         again[a] = True
-        return _runs(bucket, owner, at - words.lo[owner], again, later, window)
+        return _runs(bucket, owner, at - lo[owner], again, later, window)
 
     def _by_text(bucket, raw, start, end, owner, offset, window):
         first: dict[bytes, int] = {}
