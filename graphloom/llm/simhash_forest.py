@@ -179,12 +179,12 @@ def _grouped(every: DataFrame, farthest: int, recall: float) -> DataFrame:
 def deduplicated(documents: DataFrame, id: str = "doc_id", text: str = "text", farthest: int = FARTHEST, recall: float = RECALL) -> DataFrame:
     """One document of each group, with its own columns; of rows that share an id, the one with the smallest text."""
     every = cut(signed(documents, id, text))
-    gone = _grouped(every, farthest, recall).where("not kept").select(F.col("i").alias("_gone")).distinct()
-    again = cut(every.where("i is not null").groupBy("i").count().where("count > 1").select(F.col("i").alias("_again")))
-    kept = documents.join(gone, documents[id] == gone["_gone"], "left_anti")
+    gone = _grouped(every, farthest, recall).where("not kept").select(F.col("i").alias("__graphloom_gone")).distinct()
+    again = cut(every.where("i is not null").groupBy("i").count().where("count > 1").select(F.col("i").alias("__graphloom_again")))
+    kept = documents.join(gone, documents[id] == gone["__graphloom_gone"], "left_anti")
     if again.isEmpty():
         return kept
-    once = kept.join(again, kept[id] == again["_again"], "left_anti")
-    least = kept.join(again, kept[id] == again["_again"], "left_semi")
-    first = least.groupBy(id).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in documents.columns]), F.struct(F.coalesce(F.col(text), F.lit("")))).alias("_row"))
-    return once.unionByName(first.select("_row.*"))
+    once = kept.join(again, kept[id] == again["__graphloom_again"], "left_anti")
+    least = kept.join(again, kept[id] == again["__graphloom_again"], "left_semi")
+    first = least.groupBy(id).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in documents.columns]), F.struct(F.coalesce(F.col(text), F.lit("")))).alias("__graphloom_row"))
+    return once.unionByName(first.select("__graphloom_row.*"))

@@ -104,7 +104,7 @@ def _pairs(rows: DataFrame, by_source: dict | None, by_lang: dict | None, temper
     of_source, of_lang = multipliers(rows, by_source, by_lang, temper)
     pairs = [(x["s"], x["l"], of_source.get(x["s"], 0.0) + of_lang.get(x["l"], 0.0)) for x in rows.where("n > 0").select("s", "l").distinct().collect()]
     lowest = min((x for _, _, x in pairs), default=0.0)
-    table = rows.sparkSession.createDataFrame([(s, m, float(np.exp(x - lowest) * least)) for s, m, x in pairs], "__mix_s string, __mix_l string, __mix_rate double")
+    table = rows.sparkSession.createDataFrame([(s, m, float(np.exp(x - lowest) * least)) for s, m, x in pairs], "__graphloom_s string, __graphloom_l string, __graphloom_rate double")
     return F.broadcast(table) if len(pairs) < BROADCAST else table
 
 
@@ -117,15 +117,15 @@ def mixed(documents: DataFrame, id: str = "doc_id", text: str = "text", source:
     """A row per document: id, source, lang, tokens, rate, copies."""
     rows = cut(weighed(documents, id, text, source, lang))
     pairs = _pairs(rows, by_source, by_lang, temper, least)
-    rate = F.round(F.coalesce("__mix_rate", F.lit(float(least))), 9)
-    rated = rows.join(pairs, F.col("s").eqNullSafe(F.col("__mix_s")) & F.col("l").eqNullSafe(F.col("__mix_l")), "left")
+    rate = F.round(F.coalesce("__graphloom_rate", F.lit(float(least))), 9)
+    rated = rows.join(pairs, F.col("s").eqNullSafe(F.col("__graphloom_s")) & F.col("l").eqNullSafe(F.col("__graphloom_l")), "left")
     return rated.select(F.col("i").alias(id), F.col("s").alias(source), F.col("l").alias(lang), F.col("n").alias("tokens"), rate.alias("rate"), _copies(rate, F.col("h")).alias("copies"))
 
 
 def weighted(documents: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", by_source: dict | None = None, by_lang: dict | None = None, temper: float = TEMPER, least: float = LEAST) -> DataFrame:
     """The documents that get a copy, with their own columns, and mix_rate and mix_copies (which replace columns of those names)."""
     pairs = _pairs(cut(weighed(documents, id, text, source, lang)), by_source, by_lang, temper, least)
-    rate = F.round(F.coalesce("__mix_rate", F.lit(float(least))), 9)
-    rated = documents.join(pairs, F.col(source).cast("string").eqNullSafe(F.col("__mix_s")) & F.col(lang).cast("string").eqNullSafe(F.col("__mix_l")), "left")
+    rate = F.round(F.coalesce("__graphloom_rate", F.lit(float(least))), 9)
+    rated = documents.join(pairs, F.col(source).cast("string").eqNullSafe(F.col("__graphloom_s")) & F.col(lang).cast("string").eqNullSafe(F.col("__graphloom_l")), "left")
     key = F.xxhash64(id, text)
-    return rated.withColumns({"mix_rate": rate, "mix_copies": _copies(rate, key)}).drop("__mix_s", "__mix_l", "__mix_rate").where("mix_copies > 0")
+    return rated.withColumns({"mix_rate": rate, "mix_copies": _copies(rate, key)}).drop("__graphloom_s", "__graphloom_l", "__graphloom_rate").where("mix_copies > 0")

@@ -239,9 +239,9 @@ def repeats(documents: DataFrame, id: str = "doc_id", text: str = "text", window
 def cleaned(documents: DataFrame, id: str = "doc_id", text: str = "text", chars: str = "n_chars", window: int = WINDOW, seed: int = SEED, hot: int = HOT, bucket: int = BUCKET) -> DataFrame:
     """The documents without later copies of windows; those that have no other words go. `chars`, if there, is counted anew."""
     names = documents.columns
-    spans = _spans(documents, id, text, window, seed, hot, bucket).select(F.col("i").alias("_i"), F.col("h").alias("_h"), F.filter("r", lambda x: x["later"]).alias("_r")).where(F.size("_r") > 0)
+    spans = _spans(documents, id, text, window, seed, hot, bucket).select(F.col("i").alias("__graphloom_i"), F.col("h").alias("__graphloom_h"), F.filter("r", lambda x: x["later"]).alias("__graphloom_spans")).where(F.size("__graphloom_spans") > 0)
     keyed = documents.withColumn("__graphloom_key", content_key(text))
-    every = keyed.join(spans, keyed[id].eqNullSafe(spans["_i"]) & (keyed["__graphloom_key"] == spans["_h"]), "left").select(*[keyed[c] for c in names], spans["_r"])
+    every = keyed.join(spans, keyed[id].eqNullSafe(spans["__graphloom_i"]) & (keyed["__graphloom_key"] == spans["__graphloom_h"]), "left").select(*[keyed[c] for c in names], spans["__graphloom_spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
