@@ -186,14 +186,18 @@ def _count(window: int, kind: pa.DataType):
     return run
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def merged(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs a..b of each row, joined where they touch or overlap: (row, a, b) by row and place."""
+    if not len(row):
+        return row, a, b
+    order = np.lexsort((a, row))
+    row, a, b = (x[order].astype(np.int64) for x in (row, a, b))
+    wide = int(b.max()) + 1
+    from_, to = row * wide + a, np.maximum.accumulate(row * wide + b)
+    new = np.ones(len(row), bool)
+    new[1:] = from_[1:] > to[:-1]
+    at = np.flatnonzero(new)
+    return row[at], a[at], to[np.append(at[1:], len(row)) - 1] - row[at] * wide
 
 
 def _spans(documents: DataFrame, id: str, text: str, window: int, seed: int, hot: int, bucket: int) -> DataFrame:
@@ -220,17 +224,16 @@ def repeats(documents: DataFrame, id: str = "doc_id", text: str = "text", window
     kind = documents.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for b in batches:
-            out = []
-            for later in (False, True):
-                out.append([merged([(x["a"], x["b"]) for x in row if x["later"] == later]) for row in b.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0)]
-                + [pa.array([[{"start": a, "end": e} for a, e in row] for row in rows], spans) for rows in out]
-                + [pa.array([sum(e - a for a, e in row) for row in rows], pa.int64()) for rows in out],
-                ["i", "repeated", "removed", "repeated_words", "removed_words"],
-            )
+            edges, (later, begin, end) = _listed(b.column(1), ("later", "a", "b"))
+            owner = np.repeat(np.arange(b.num_rows), np.diff(edges))
+            lists, sums = [], []
+            for on in (~later, later):
+                row, x, y = merged(owner[on], begin[on], end[on])
+                span = pa.StructArray.from_arrays([pa.array(x, pa.int32()), pa.array(y, pa.int32())], ["start", "end"])
+                lists.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)), pa.int32()), span))
+                sums.append(pa.array(np.bincount(row, y - x, b.num_rows).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists, *sums], ["i", "repeated", "removed", "repeated_words", "removed_words"])
 
     span = "array<struct<start:int,end:int>>"
     return _spans(documents, id, text, window, seed, hot, bucket).select("i", "r").mapInArrow(run, f"`{id}` {kind}, repeated {span}, removed {span}, repeated_words long, removed_words long")
@@ -245,19 +248,20 @@ def cleaned(documents: DataFrame, id: str = "doc_id", text: str = "text", chars:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = pc.is_valid(b.column(len(names)))
-            spans = b.column(len(names)).filter(rows).to_pylist()
-            at = np.flatnonzero(rows.to_numpy(zero_copy_only=False))
+            edges, (begin, end) = _listed(b.column(len(names)), ("a", "b"))
+            owner, begin, end = merged(np.repeat(np.arange(b.num_rows), np.diff(edges)), begin, end)
+            rows, first = np.unique(owner, return_index=True)
+            first = np.append(first, len(owner))
             b = b.select(list(range(len(names))))
             new, keep = {}, np.ones(b.num_rows, bool)
-            data, offsets = utf8(b.column(b.schema.get_field_index(text)).take(pa.array(at)))
+            data, offsets = utf8(b.column(b.schema.get_field_index(text)).take(pa.array(rows, pa.int64())))
             for lo, hi, words in pieces(data, offsets):
                 for d in range(hi - lo):
-                    cuts = merged([(x["a"], x["b"]) for x in spans[lo + d]])
-                    row, base, first = int(at[lo + d]), words.offsets[d], words.lo[d]
-                    keep[row] = sum(e - a for a, e in cuts) < words.hi[d] - first
+                    x, y = begin[first[lo + d] : first[lo + d + 1]], end[first[lo + d] : first[lo + d + 1]]
+                    row, base, word = int(rows[lo + d]), words.offsets[d], words.lo[d]
+                    keep[row] = int((y - x).sum()) < words.hi[d] - word
                     raw = words.data[base : words.offsets[d + 1]].tobytes()
-                    new[row] = without(raw, [(int(words.start[first + a] - base), int(words.end[first + e - 1] - base)) for a, e in cuts])
+                    new[row] = without(raw, list(zip((words.start[word + x] - base).tolist(), (words.end[word + y - 1] - base).tolist(), strict=True)))
             yield replaced(b, text, chars, new).filter(pa.array(keep))
 
     return every.mapInArrow(run, documents.schema)
