@@ -38,24 +38,23 @@ def spanning_forest(g: PropertyGraph, property: str = "weight") -> DataFrame:
 
 def topological(g: PropertyGraph, direction: Direction | str = Direction.OUT) -> DataFrame | None:
     """(id, level): how many rounds of removing vertices without incoming edges come before. None if there is a cycle."""
-    walk = walks(g.edges, direction)
-    edges = cut(walk.select("source", "target").distinct())
-    left = cut(g.vertices.select("id"))
-    done = cut(left.limit(0).select("id", F.lit(0).alias("level")))
+    edges = cut(walks(g.edges, direction).select("source", "target").distinct())
+    free = cut(g.vertices.select("id").join(edges.select(F.col("target").alias("id")), "id", "left_anti").select("id", F.lit(0).alias("level")))
 
     def step(state: tuple, k: int) -> tuple[tuple, bool]:
-        left, edges, done, _ = state
-        free = cut(left.join(edges.select(F.col("target").alias("id")), "id", "left_anti"))
-        rows = free.count()
+        edges, free, done, rows = state
         if rows == 0:
-            return (left, edges, done, left.isEmpty()), False
-        gone = small(free, rows)
-        edges = cut(edges.join(gone.select(F.col("id").alias("source")), "source", "left_anti"))
-        done = done.unionByName(free.select("id", F.lit(k).alias("level")))
-        return (cut(left.join(gone, "id", "left_anti")), edges, cut(done) if k % 8 == 7 else done, True), True
-
-    _, _, done, acyclic = iterate((left, edges, done, True), step)
-    return done if acyclic else None
+            return state, False
+        gone = small(free.select(F.col("id").alias("source")), rows)
+        rest = cut(edges.join(gone, "source", "left_anti"))
+        # only ends of edges just removed can have become free
+        ends = edges.join(gone, "source", "left_semi").select(F.col("target").alias("id")).distinct()
+        new = cut(ends.join(rest.select(F.col("target").alias("id")), "id", "left_anti").select("id", F.lit(k + 1).alias("level")))
+        done = done.unionByName(new)
+        return (rest, new, cut(done) if k % 8 == 7 else done, new.count()), True
+
+    rest, _, done, _ = iterate((edges, free, free, free.count()), step)
+    return done if rest.isEmpty() else None
 
 
 def strong(g: PropertyGraph, direction: Direction | str = Direction.OUT) -> DataFrame:
