@@ -1,7 +1,7 @@
 """Near-duplicate groups by SimHash and an LSH forest.
 
 A document's signature has 256 bits: the signs of the sum of its distinct word pairs' hashed vectors (of its one word, if it
-has no pair). Equal signatures are one leaf. The forest holds every leaf in several tries, each over its own random
+has no pair), whatever other documents share its batch. Equal signatures are one leaf. The forest holds every leaf in several tries, each over its own random
 permutation of the bits. Two leaves at the farthest distance that counts agree on a prefix of d bits in one of l tries with
 probability 1 - (1 - p^d)^l, p being the share of equal bits; climbing to shorter prefixes raises it. `shape` picks, for the
 density at hand (the number of leaves), the depth to climb to and the tries that together reach the target recall at least
@@ -51,10 +51,12 @@ def signatures(words: Words) -> np.ndarray:
     single = np.flatnonzero(count == 1)
     pair = np.concatenate([pair, words.hash[words.lo[single]]])
     owner = np.concatenate([owner, single])
-    bits = max(1, int(n).bit_length())
-    key = np.unique((owner.astype(np.uint64) << np.uint64(64 - bits)) | (pair >> np.uint64(bits)))
-    owner = (key >> np.uint64(64 - bits)).astype(np.int64)
-    feature = key << np.uint64(bits)
+    feature = pair & ~np.uint64(1)
+    order = np.lexsort((feature, owner))
+    feature, owner = feature[order], owner[order]
+    fresh = np.ones(len(feature), bool)
+    fresh[1:] = (feature[1:] != feature[:-1]) | (owner[1:] != owner[:-1])
+    feature, owner = feature[fresh], owner[fresh]
     out = np.zeros((n, BITS // 8), np.uint8)
     at = owner * 256
     for word, salt in enumerate(_SALT):

@@ -316,6 +316,16 @@ def test_signatures(corpus):
         assert got == (brute_signature(text) or bytes(32))
 
 
+def test_signatures_do_not_depend_on_the_batch(corpus):
+    rows, _ = corpus
+    texts = [rows[0][1], "one", "same same same", "", rows[1][1]]
+    for n in (1, 200, 600):
+        data = "".join([*texts, *["x y"] * n]).encode()
+        offsets = np.cumsum([0, *[len(t.encode()) for t in texts], *[3] * n])
+        got = simhash_forest.signatures(common.Words(np.frombuffer(data, np.uint8), offsets))
+        assert [x.tobytes() for x in got[: len(texts)]] == [brute_signature(t) or bytes(32) for t in texts]
+
+
 def near_copies(corpus, groups=12, copies=9, rate=0.02):
     rows, words = corpus
     r = random.Random(4)
