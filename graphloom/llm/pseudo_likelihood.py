@@ -6,9 +6,9 @@ sum of its words' conditional log-probabilities, each word being masked in turn.
 
 Outputs are the commonest words of the whole corpus, BUCKETS hash buckets that share the others, and the document's edge
 (a neighbour only). Word counts come from all documents. Training is distributed: in each of ROUNDS rounds every partition starts
-from the same weights, runs Adagrad over its own documents, those whose text's hash is 0 modulo EVERY, and the
-weights are averaged by words trained on, in two levels, so that a group holds the square root of the partitions' number. So
-the training set is a fixed share of the input at any size.
+from the same weights, runs Adagrad over all of its own documents (with EVERY above 1 over those whose text's hash is 0
+modulo EVERY), and the weights are averaged by words trained on, in two levels, so that a group holds the square root of the
+partitions' number.
 
 Null, empty and wordless texts have 0 words, log-likelihood 0 and a null mean. Null and repeated ids are rows like any
 other; extra columns are ignored. A corpus without words leaves the network as it starts. Weights depend on how the input is
@@ -36,7 +36,7 @@ BUCKETS = 255
 COMMON = OUTPUTS - 1 - BUCKETS
 EDGE = OUTPUTS - 1
 HIDDEN = 32
-EVERY = 8
+EVERY = 1
 ROUNDS = 2
 RATE = 0.05
 BATCH = 2048
@@ -131,24 +131,35 @@ class Network:
             out[k : k + BLOCK * 4] = self._forward(around[:, k : k + BLOCK * 4], word[k : k + BLOCK * 4], False)[0]
         return out
 
-    def gradients(self, around: np.ndarray, word: np.ndarray) -> list[np.ndarray]:
-        """Of the summed negative log-probability."""
+    def gradients(self, around: np.ndarray, word: np.ndarray, sparse: bool = False) -> list:
+        """Of the summed negative log-probability; sparse: of the tables, for each place the rows looked up and theirs."""
         _, (back, g) = self._forward(around, word, True)
-        look = np.zeros_like(self.look)
+        tables = []
         for k in range(len(PLACES)):
             order = np.argsort(around[k], kind="stable")
             ids = around[k][order]
             first = np.flatnonzero(np.diff(ids, prepend=-1))
-            look[k][ids[first]] = np.add.reduceat(back[order], first, axis=0)
+            tables.append((ids[first], np.add.reduceat(back[order], first, axis=0)))
+        if sparse:
+            return [tables, back.sum(0), *g]
+        look = np.zeros_like(self.look)
+        for k, (rows, x) in enumerate(tables):
+            look[k][rows] = x
         return [look, back.sum(0), *g]
 
     def train(self, around: np.ndarray, word: np.ndarray, state: list[np.ndarray], rate: float = RATE) -> None:
         for k in range(0, len(word), BATCH):
             n = len(word[k : k + BATCH])
-            for x, g, s in zip(self.parts(), self.gradients(around[:, k : k + BATCH], word[k : k + BATCH]), state, strict=True):
+            look, *rest = self.gradients(around[:, k : k + BATCH], word[k : k + BATCH], sparse=True)
+            steps = [(self.look[p], g, state[0][p], rows) for p, (rows, g) in enumerate(look)]
+            for x, g, s, rows in [*steps, *((x, g, s, None) for x, g, s in zip(self.parts()[1:], rest, state[1:], strict=True))]:
                 g /= n
-                s += g * g
-                x -= rate * g / (np.sqrt(s) + 1e-6)
+                if rows is None:
+                    s += g * g
+                    x -= rate * g / (np.sqrt(s) + 1e-6)
+                else:  # where the gradient is 0 nothing would change
+                    s[rows] = now = s[rows] + g * g
+                    x[rows] -= rate * g / (np.sqrt(now) + 1e-6)
 
 
 def neighbours(ids: np.ndarray, words: Words) -> np.ndarray:

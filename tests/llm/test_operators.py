@@ -463,6 +463,34 @@ def test_training_helps_on_held_out_text(spark, corpus):
     assert mean > -1.2 > -np.log(12)
 
 
+def test_every_document_is_trained_on(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+    plain = pseudo_likelihood.Network.train
+
+    def train(self, around, word, state, *rest):
+        seen.add(len(word))
+        plain(self, around, word, state, *rest)
+
+    docs = [(i, f"text {i} has words w{i} and v{i % 7}", "en", "a", 0) for i in range(64)]
+    original = pseudo_likelihood._trainer
+
+    def trainer(*given):
+        run = original(*given)
+
+        def counting(batches):
+            pseudo_likelihood.Network.train = train
+            try:
+                yield from run(batches)
+            finally:
+                pseudo_likelihood.Network.train = plain
+
+        return counting
+
+    monkeypatch.setattr(pseudo_likelihood, "_trainer", trainer)
+    pseudo_likelihood.fitted(frame(spark, docs))
+    assert seen.value == pseudo_likelihood.ROUNDS * sum(len(tokens(t)) for _, t, *_ in docs)
+
+
 # 9
 
 
