@@ -4,8 +4,11 @@ A word's probability is predicted from RADIUS words on either side by a window n
 neighbours up and their sum passes a tanh; a class of words and then the word in it are two softmax layers. A document's score is the
 sum of its words' conditional log-probabilities, each word being masked in turn.
 
-Outputs are the commonest words of the whole corpus, BUCKETS hash buckets that share the others, and the document's edge
-(a neighbour only). Word counts come from all documents. Training is distributed: in each of ROUNDS rounds every partition starts
+Outputs are the commonest words of the whole corpus, hash buckets that share the others (a quarter of the outputs), and the
+document's edge (a neighbour only). Their number grows with the square root of the corpus' words (`width`), so that what partitions send
+to be averaged stays in proportion. A word in a bucket has the bucket's probability times its own share of the bucket's count, so
+every word of the corpus has its own probability. Word counts come from all documents; scoring has those of the KNOWN
+commonest words at hand and joins the documents' other words with the rest. Training is distributed: in each of ROUNDS rounds every partition starts
 from the same weights, runs Adagrad over all of its own documents (with EVERY above 1 over those whose text's hash is 0
 modulo EVERY), and the weights are averaged by words trained on, in two levels, so that a group holds the square root of the
 partitions' number.
@@ -35,6 +38,8 @@ OUTPUTS = CLASSES * PER_CLASS
 BUCKETS = 255
 COMMON = OUTPUTS - 1 - BUCKETS
 EDGE = OUTPUTS - 1
+#: Words besides the outputs whose counts every task has in memory.
+KNOWN = 1 << 20
 HIDDEN = 32
 EVERY = 1
 ROUNDS = 2
@@ -44,32 +49,54 @@ BLOCK = 1 << 12
 PLACES = [x for x in range(-RADIUS, RADIUS + 1) if x]
 
 
+def width(words: int) -> int:
+    """Classes, and words per class, for a corpus of so many words."""
+    return max(CLASSES, math.ceil(words**0.25 / 2))
+
+
 class Vocabulary:
-    def __init__(self, common: list[int]):
-        """common: hashes of the commonest words, commonest first."""
+    def __init__(self, common: list[int], outputs: int = OUTPUTS, more: np.ndarray | None = None, shares: np.ndarray | None = None):
+        """common: hashes of the commonest words, commonest first. more: sorted hashes of others, with the logarithms of their shares of their buckets."""
         h = np.array(common, np.int64).view(np.uint64)
         self.order = np.argsort(h)
         self.sorted = h[self.order]
+        self.edge = outputs - 1
+        self.buckets = outputs // 4 - 1
+        self.common = self.edge - self.buckets
+        self.more = np.zeros(0, np.uint64) if more is None else more
+        self.shares = np.zeros(0) if shares is None else shares
 
     def ids(self, h: np.ndarray) -> np.ndarray:
-        out = COMMON + ((h >> np.uint64(20)) % np.uint64(BUCKETS)).astype(np.int32)
+        out = self.common + ((h >> np.uint64(20)) % np.uint64(self.buckets)).astype(np.int32)
         if len(self.sorted):
             at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
             known = self.sorted[at] == h
             out[known] = self.order[at[known]]
         return out
 
+    def within(self, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The logarithm of each word's share of its output (0 where it isn't known here), and whether it is missing."""
+        out, missing = np.zeros(len(h)), ids >= self.common
+        if len(self.more):
+            rare = np.flatnonzero(missing)
+            at = np.minimum(np.searchsorted(self.more, h[rare]), len(self.more) - 1)
+            known = self.more[at] == h[rare]
+            out[rare[known]] = self.shares[at[known]]
+            missing[rare[known]] = False
+        return out, missing
+
 
 class Network:
     def __init__(self, counts: np.ndarray, seed: int = 3):
-        """counts: of each output, for the softmax layers' first biases."""
+        """counts: of each output, for the softmax layers' first biases; a square number of them."""
         r = np.random.default_rng(seed)
-        p = (counts + 1.0).reshape(CLASSES, PER_CLASS)
-        self.look = r.normal(0, 0.1, (len(PLACES), OUTPUTS, HIDDEN)).astype(np.float32)
+        self.classes = self.per = math.isqrt(len(counts))
+        p = (counts + 1.0).reshape(self.classes, self.per)
+        self.look = r.normal(0, 0.1, (len(PLACES), len(counts), HIDDEN)).astype(np.float32)
         self.bias = np.zeros(HIDDEN, np.float32)
-        self.to_class = r.normal(0, 0.01, (HIDDEN, CLASSES)).astype(np.float32)
+        self.to_class = r.normal(0, 0.01, (HIDDEN, self.classes)).astype(np.float32)
         self.class_bias = np.log(p.sum(1) / p.sum()).astype(np.float32)
-        self.to_word = r.normal(0, 0.01, (CLASSES, HIDDEN, PER_CLASS)).astype(np.float32)
+        self.to_word = r.normal(0, 0.01, (self.classes, HIDDEN, self.per)).astype(np.float32)
         self.word_bias = np.log(p / p.sum(1, keepdims=True)).astype(np.float32)
 
     def parts(self) -> list[np.ndarray]:
@@ -90,9 +117,9 @@ class Network:
         for k in range(1, len(PLACES)):
             h += self.look[k][around[k]]
         np.tanh(h, out=h)
-        kind = word // PER_CLASS
+        kind = word // self.per
         order = np.argsort(kind, kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+        edges = np.searchsorted(kind[order], np.arange(self.classes + 1))
         a = h @ self.to_class
         a += self.class_bias
         a -= a.max(1, keepdims=True)
@@ -105,14 +132,14 @@ class Network:
             a[np.arange(len(word)), kind] -= 1
             back = a @ self.to_class.T
             g = [h.T @ a, a.sum(0), np.zeros_like(self.to_word), np.zeros_like(self.word_bias)]
-        for c in range(CLASSES):
+        for c in range(self.classes):
             rows = order[edges[c] : edges[c + 1]]
             if len(rows):
                 x = h[rows]
                 b = x @ self.to_word[c]
                 b += self.word_bias[c]
                 b -= b.max(1, keepdims=True)
-                own = word[rows] - c * PER_CLASS
+                own = word[rows] - c * self.per
                 picked = b[np.arange(len(rows)), own].copy()
                 np.exp(b, out=b)
                 total = b.sum(1)
@@ -162,12 +189,12 @@ class Network:
                     x[rows] -= rate * g / (np.sqrt(now) + 1e-6)
 
 
-def neighbours(ids: np.ndarray, words: Words) -> np.ndarray:
-    """The ids around each word, a row per place; EDGE outside its document."""
+def neighbours(ids: np.ndarray, words: Words, edge: int = EDGE) -> np.ndarray:
+    """The ids around each word, a row per place; `edge` outside its document."""
     lo = np.repeat(words.lo, words.hi - words.lo)
     hi = np.repeat(words.hi, words.hi - words.lo)
     at = np.arange(len(ids))
-    out = np.full((len(PLACES), len(ids)), EDGE, np.int32)
+    out = np.full((len(PLACES), len(ids)), edge, np.int32)
     for k, x in enumerate(PLACES):
         inside = (at + x >= lo) & (at + x < hi)
         out[k][inside] = ids[(at + x)[inside]]
@@ -202,14 +229,14 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _trainer(vocabulary: Vocabulary, weights: np.ndarray, every: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(np.zeros(OUTPUTS)).load(weights)
+        net = Network(np.zeros(vocabulary.edge + 1)).load(weights)
         state = [np.zeros_like(x) for x in net.parts()]
         seen = 0
         for b in batches:
             data, offsets = utf8(b.column(0))
             for _, _, words in pieces(data, offsets):
                 ids = vocabulary.ids(words.hash)
-                net.train(neighbours(ids, words), ids, state)
+                net.train(neighbours(ids, words, vocabulary.edge), ids, state)
                 seen += len(ids)
         if seen:
             flat, part = net.flat(), TaskContext.get().partitionId()
@@ -228,18 +255,24 @@ def _average(rows: pa.Table) -> pa.Table:
 
 
 def fitted(documents: DataFrame, text: str = "text", every: int = EVERY, rounds: int = ROUNDS) -> tuple[Vocabulary, np.ndarray]:
+    return _fitted(documents, text, every, rounds)[:2]
+
+
+def _fitted(documents: DataFrame, text: str, every: int, rounds: int) -> tuple[Vocabulary, np.ndarray, DataFrame, np.ndarray]:
+    """Vocabulary, weights, the count of every word (w, n), and that of every output."""
     texts = documents.select(F.col(text).cast("string").alias("t")).where("t is not null")
     counts = cut(texts.mapInArrow(_tally, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
-    common = [(x["w"], x["n"]) for x in counts.orderBy(F.desc("n"), "w").limit(COMMON).collect()]
-    bucket = F.pmod(F.shiftrightunsigned("w", 20), F.lit(BUCKETS))
-    every_bucket = {x["b"]: x["n"] for x in counts.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n")).collect()}
-    vocabulary = Vocabulary([w for w, _ in common])
-    prior = np.zeros(OUTPUTS)
+    outputs = width(counts.agg(F.sum("n").alias("n")).first()["n"] or 0) ** 2
+    sizes = Vocabulary([], outputs)
+    common = [(x["w"], x["n"]) for x in counts.orderBy(F.desc("n"), "w").limit(sizes.common).collect()]
+    vocabulary = Vocabulary([w for w, _ in common], outputs)
+    every_bucket = {x["b"]: x["n"] for x in counts.groupBy(_bucket(vocabulary).alias("b")).agg(F.sum("n").alias("n")).collect()}
+    prior = np.zeros(outputs)
     prior[: len(common)] = [n for _, n in common]
     for k, n in every_bucket.items():
-        prior[COMMON + k] = n
+        prior[vocabulary.common + k] = n
     for w, n in common:
-        prior[COMMON + (w % 2**64 >> 20) % BUCKETS] -= n
+        prior[vocabulary.common + (w % 2**64 >> 20) % vocabulary.buckets] -= n
     weights = Network(prior).flat()
     share = texts.where(F.pmod(F.xxhash64("t"), F.lit(every)) == 0)
     groups = max(1, math.isqrt(share.rdd.getNumPartitions()))
@@ -250,33 +283,59 @@ def fitted(documents: DataFrame, text: str = "text", every: int = EVERY, rounds:
         new = half.groupBy("k").applyInArrow(_average, schema).collect()
         if new:
             weights = np.concatenate([np.frombuffer(x["v"], np.float32) for x in sorted(new, key=lambda x: x["k"])])
-    return vocabulary, weights
+    return vocabulary, weights, counts, prior
+
+
+def _bucket(vocabulary: Vocabulary):
+    return F.pmod(F.shiftrightunsigned("w", 20), F.lit(vocabulary.buckets))
 
 
-def scored(documents: DataFrame, id: str = "doc_id", text: str = "text", every: int = EVERY, rounds: int = ROUNDS) -> DataFrame:
+def scored(documents: DataFrame, id: str = "doc_id", text: str = "text", every: int = EVERY, rounds: int = ROUNDS, known: int = KNOWN) -> DataFrame:
     """A row per document: id, words, summed log-probability, and its mean."""
-    vocabulary, weights = fitted(documents, text, every, rounds)
+    spark = documents.sparkSession
+    vocabulary, weights, counts, prior = _fitted(documents, text, every, rounds)
+    rare = counts.join(F.broadcast(spark.createDataFrame([(int(w),) for w in vocabulary.sorted.view(np.int64)], "w long")), "w", "left_anti")
+    top = rare.orderBy(F.desc("n"), "w").limit(known).toArrow()
+    w, n = top.column("w").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(w)
+    w, n = w[order], n[order]
+    vocabulary = Vocabulary(vocabulary.sorted[np.argsort(vocabulary.order)].view(np.int64).tolist(), vocabulary.edge + 1, w, np.log(n / prior[vocabulary.ids(w)]))
     kind = documents.schema[id].dataType.simpleString()
-    model = documents.sparkSession.sparkContext.broadcast((vocabulary, weights))
+    model = spark.sparkContext.broadcast((vocabulary, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, weights = model.value
-        net = Network(np.zeros(OUTPUTS)).load(weights)
+        net = Network(np.zeros(vocabulary.edge + 1)).load(weights)
         for b in batches:
             data, offsets = utf8(b.column(1))
-            count, total = [np.zeros(0, np.int64)], [np.zeros(0)]
+            count, total, others = [np.zeros(0, np.int64)], [np.zeros(0)], []
             for _, _, words in pieces(data, offsets):
                 c, t = document_scores(net, vocabulary, words)
                 count.append(c)
                 total.append(t)
+                h = words.hash.view(np.int64)
+                missing = np.concatenate([[0], np.cumsum(vocabulary.within(words.hash, vocabulary.ids(words.hash))[1])])
+                if missing[-1]:
+                    at = h[np.diff(missing) > 0]
+                    others += [at[a:b] for a, b in zip(missing[words.lo], missing[words.hi], strict=True)]
+                else:
+                    others += [h[:0]] * len(c)
             c, t = np.concatenate(count), np.concatenate(total)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c), pa.array(t.round(4)), pa.array((t / np.maximum(c, 1)).round(6), mask=c == 0)], ["i", "words", "log_likelihood", "mean"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c), pa.array(t), pa.array(others, pa.list_(pa.int64()))], ["i", "c", "s", "o"])
 
-    return documents.select(F.col(id).alias("i"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"`{id}` {kind}, words long, log_likelihood double, mean double")
+    rows = documents.select(F.col(id).alias("i"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"i {kind}, c long, s double, o array<long>")
+    if len(w) == known:
+        rows = cut(rows.withColumn("r", F.monotonically_increasing_id()))
+        filled = spark.createDataFrame([(k, float(x)) for k, x in enumerate(prior[vocabulary.common : vocabulary.edge])], "b long, all double")
+        share = rare.join(F.broadcast(filled), _bucket(vocabulary) == F.col("b")).select("w", F.log(F.col("n") / F.col("all")).alias("x"))
+        more = rows.select("r", F.explode("o").alias("w")).groupBy("r", "w").count().join(share, "w").groupBy("r").agg(F.sum(F.col("count") * F.col("x")).alias("x"))
+        rows = rows.join(more, "r", "left").withColumn("s", F.col("s") + F.coalesce("x", F.lit(0.0)))
+    return rows.select(F.col("i").alias(id), F.col("c").alias("words"), F.round("s", 4).alias("log_likelihood"), F.when(F.col("c") > 0, F.round(F.col("s") / F.col("c"), 6)).alias("mean"))
 
 
 def document_scores(net: Network, vocabulary: Vocabulary, words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Words and summed log-probability of each document."""
+    """Words and summed log-probability of each document; of words that the vocabulary hasn't, that of their buckets."""
     ids = vocabulary.ids(words.hash)
-    sums = np.concatenate([[0.0], np.cumsum(net.score(neighbours(ids, words), ids).astype(np.float64))])
+    every = net.score(neighbours(ids, words, vocabulary.edge), ids).astype(np.float64) + vocabulary.within(words.hash, ids)[0]
+    sums = np.concatenate([[0.0], np.cumsum(every)])
     return (words.hi - words.lo).astype(np.int64), sums[words.hi] - sums[words.lo]

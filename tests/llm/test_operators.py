@@ -491,6 +491,34 @@ def test_every_document_is_trained_on(spark, monkeypatch):
     assert seen.value == pseudo_likelihood.ROUNDS * sum(len(tokens(t)) for _, t, *_ in docs)
 
 
+def test_words_in_buckets_have_their_own_probability(spark):
+    r = random.Random(5)
+    often = ["a" * (k % 50 + 1) + "b" * (k // 50) for k in range(600)] + ["c" * (k % 50 + 1) + "d" * (k // 50) for k in range(600)]
+    docs = [(i, " ".join(r.choice(often) if r.random() < 0.9 else "r" + "s" * i + "t" * (k // 3) for k in range(60)), "en", "a", 0) for i in range(40)]
+    vocabulary, weights, counts, prior = pseudo_likelihood._fitted(frame(spark, docs), "text", 1, 1)
+    n = {x["w"]: x["n"] for x in counts.collect()}
+    net = pseudo_likelihood.Network(np.zeros(len(prior))).load(weights)
+    want = {}
+    for i, t, *_ in docs:
+        words = words_of(t)
+        ids = vocabulary.ids(words.hash)
+        own = [np.log(n[w] / prior[k]) if k >= vocabulary.common else 0.0 for w, k in zip(words.hash.view(np.int64).tolist(), ids, strict=True)]
+        want[i] = net.score(pseudo_likelihood.neighbours(ids, words), ids).astype(float).sum() + sum(own)
+        assert min(own) < -0.5
+    for known in (1 << 20, 50):
+        got = pseudo_likelihood.scored(frame(spark, docs), every=1, rounds=1, known=known).collect()
+        assert {x["doc_id"]: x["log_likelihood"] for x in got} == pytest.approx(want, abs=0.05)
+        assert all(x["words"] == 60 and x["mean"] == pytest.approx(x["log_likelihood"] / 60, abs=1e-5) for x in got)
+
+
+def test_outputs_grow_with_the_corpus():
+    sizes = [pseudo_likelihood.width(n) for n in (0, 10**6, 10**8, 10**10)]
+    assert sizes[:2] == [32, 32] and sizes[1] < sizes[2] < sizes[3]
+    net = pseudo_likelihood.Network(np.ones(40 * 40))
+    everything = net.score(np.zeros((4, 1600), np.int64), np.arange(1600))
+    assert np.exp(everything.astype(float)).sum() == pytest.approx(1, abs=1e-4)
+
+
 # 9
 
 
