@@ -23,6 +23,7 @@ class SuffixAutomaton:
             self.sizes.append(len(tokens))
         #: (sequence, end) of each occurrence of a state's substrings
         self.ends = ends
+        self._owners: dict[int, set[int]] = {}
         for state in sorted(range(1, len(self.next)), key=self.length.__getitem__, reverse=True):
             up = self.link[state]
             if self.length[up] >= least and state in ends:
@@ -82,3 +83,24 @@ class SuffixAutomaton:
     def occurrences(self, state: int, length: int) -> list[tuple[int, int, int]]:
         """(sequence, start, end) of the substring of that length that ends in the state."""
         return [(k, end - length, end) for k, end in self.ends.get(state, ())]
+
+    def own(self, tokens: Sequence[Hashable], least: int | None = None) -> dict[int, list[tuple[int, int, int, int]]]:
+        """Of each sequence: (start, end, start in it, end in it) of its own matches of at least `least` tokens that none of its own longer matches contains."""
+        least = least or self.least
+        m = self.matching(tokens)
+        best: dict[int, dict[int, tuple[int, int]]] = {}
+        for k, (n, state) in enumerate(m):
+            while n >= least:
+                for q in self.owners(state):
+                    ends = best.setdefault(q, {})
+                    if k + 1 not in ends:
+                        ends[k + 1] = (n, state)
+                state = self.link[state]
+                n = self.length[state]
+        return {q: [(e - n, e, end - n, end) for e, (n, state) in ends.items() if ends.get(e + 1, (0, 0))[0] <= n for k, end in self.ends[state] if k == q] for q, ends in best.items()}
+
+    def owners(self, state: int) -> set[int]:
+        """The sequences that hold a state's substrings."""
+        if state not in self._owners:
+            self._owners[state] = {k for k, _ in self.ends.get(state, ())}
+        return self._owners[state]

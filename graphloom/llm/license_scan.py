@@ -1,8 +1,8 @@
 """License scans through a generalised suffix automaton of license templates.
 
-Every document's words stream past the templates' automaton, which gives the longest match that ends at each word (documents
-without any run of LEAST template words are passed by a vectorised look-up, which loses nothing). Maximal matches of LEAST words
-or more are chained: in order in the document and in the template, at most GAP words apart in either. A chain that
+Every document's words stream past the templates' automaton, which gives each template's longest match that ends at each word
+(documents without any run of LEAST template words are passed by a vectorised look-up, which loses nothing). Each template's own maximal
+matches of LEAST words or more are chained, whatever longer match of another template they lie in: in order in the document and in the template, at most GAP words apart in either. A chain that
 covers COVERAGE of its template is reported, best first, where no better one lies.
 
 Ties go to more matched words, then the higher coverage, the earlier place, the first template. Null and empty documents have no
@@ -84,12 +84,8 @@ class Templates:
 
     def chains(self, tokens: list[int]) -> list[tuple[int, int, int, int]]:
         """(template, first word, word after the last, matched words), not overlapping, by place."""
-        by: dict[int, list[tuple[int, int, int, int]]] = {}
-        for a, b, state in self.automaton.maximal(tokens):
-            for k, s, e in self.automaton.occurrences(state, b - a):
-                by.setdefault(k, []).append((a, b, s, e))
         found = []
-        for k, matches in by.items():
+        for k, matches in self.automaton.own(tokens).items():
             found += [(matched, matched / self.sizes[k], -a, -k, b) for a, b, matched in self._chained(sorted(set(matches))) if matched >= self.coverage * self.sizes[k]]
         taken: list[tuple[int, int, int, int]] = []
         for matched, _, a, k, b in sorted(found, reverse=True):

@@ -265,6 +265,29 @@ def test_license_scan(spark, corpus):
     assert len(by[5]) == 3
 
 
+def test_templates_inside_longer_matches_of_others():
+    t = license_scan.Templates(license_scan.TEMPLATES)
+    short = license_scan.TEMPLATES.index(("Apache-2.0", "Licensed under the Apache License, Version 2.0"))
+    first = license_scan._APACHE.split(";")[0]
+    for text in (first, license_scan._APACHE[: license_scan._APACHE.index("Unless")], "some words " + first + " and more"):
+        ((k, a, b, matched),) = t.chains(common.hashes_of(text))
+        assert (k, b - a, matched) == (short, 8, 8)
+    ((k, _, _, matched),) = t.chains(common.hashes_of(license_scan._APACHE))
+    assert k == license_scan.TEMPLATES.index(("Apache-2.0", license_scan._APACHE)) and matched == t.sizes[k]
+
+
+def test_own_matches_of_each_sequence():
+    r = random.Random(9)
+    for _ in range(80):
+        sequences = [[r.choice("ab") for _ in range(r.randint(0, 9))] for _ in range(3)]
+        text, want = [r.choice("abc") for _ in range(12)], {}
+        for q, s in enumerate(sequences):
+            n = {e: max((n for n in range(2, e + 1) if any(s[k : k + n] == text[e - n : e] for k in range(len(s) - n + 1))), default=0) for e in range(13)} | {13: 0}
+            if found := {(e - n[e], e, k, k + n[e]) for e in range(13) if n[e] and n[e + 1] <= n[e] for k in range(len(s) - n[e] + 1) if s[k : k + n[e]] == text[e - n[e] : e]}:
+                want[q] = found
+        assert {q: set(x) for q, x in SuffixAutomaton(sequences, least=2).own(text).items()} == want
+
+
 def test_license_chains_are_best():
     """One chain per document and template scores what a full search over match sequences finds."""
     r = random.Random(2)
