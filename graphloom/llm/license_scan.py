@@ -47,6 +47,12 @@ _BSD = """Redistribution and use in source and binary forms, with or without mod
 conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following
 disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in
 the documentation and/or other materials provided with the distribution."""
+_BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+_MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file,
+You can obtain one at https://mozilla.org/MPL/2.0/."""
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the
+above copyright notice and this permission notice appear in all copies."""
 #: (license, template)
 TEMPLATES = [
     ("MIT", _MIT_GRANT),
@@ -66,6 +72,24 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("all-rights-reserved", "All rights reserved."),
+    ("GPL-2.0", _GPL3.replace("version 3 of", "version 2 of")),
+    ("GPL-2.0", "licensed under the GNU General Public License, version 2"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0"),
+    ("LGPL-3.0", _GPL3.replace("GNU General", "GNU Lesser General")),
+    ("LGPL-3.0", "licensed under the GNU Lesser General Public License, version 3"),
+    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0"),
+    ("AGPL-3.0", _GPL3.replace("GNU General", "GNU Affero General")),
+    ("AGPL-3.0", "licensed under the GNU Affero General Public License, version 3"),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0"),
+    ("MPL-2.0", _MPL),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("ISC", _ISC),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", "SPDX-License-Identifier: Unlicense"),
+    ("BSD", _BSD_DISCLAIMER),
+    ("BSD", "SPDX-License-Identifier: BSD-2-Clause"),
 ]
 
 

@@ -276,6 +276,14 @@ def test_templates_inside_longer_matches_of_others():
     assert k == license_scan.TEMPLATES.index(("Apache-2.0", license_scan._APACHE)) and matched == t.sizes[k]
 
 
+def test_every_template_is_found_as_its_own_license():
+    t = license_scan.Templates(license_scan.TEMPLATES)
+    for name, template in license_scan.TEMPLATES:
+        assert {t.names[k] for k, *_ in t.chains(common.hashes_of("Some text. " + template))} == {name}, template
+    for name, notice in (("all-rights-reserved", "Copyright 2020. All rights reserved."), ("GPL-2.0", "Licensed under the GNU General Public License, version 2")):
+        assert [t.names[k] for k, *_ in t.chains(common.hashes_of(notice))] == [name]
+
+
 def test_own_matches_of_each_sequence():
     r = random.Random(9)
     for _ in range(80):
