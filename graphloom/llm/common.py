@@ -25,7 +25,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_powers = np.ones(64, np.uint64)
+_powers = np.ones(1, np.uint64)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -66,9 +66,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> np.ndarray:
+    """The first n powers of the hashes' base, at least."""
     global _powers
     if len(_powers) < n:
-        p = np.full(max(n, 2 * len(_powers)), _BASE, np.uint64)
+        p = np.full(max(n, 64, 2 * len(_powers)), _BASE, np.uint64)
         p[0] = 1
         _powers = np.multiply.accumulate(p)
     return _powers

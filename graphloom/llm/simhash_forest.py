@@ -51,9 +51,8 @@ def signatures(words: Words) -> np.ndarray:
     single = np.flatnonzero(count == 1)
     pair = np.concatenate([pair, words.hash[words.lo[single]]])
     owner = np.concatenate([owner, single])
-    feature = pair & ~np.uint64(1)
-    order = np.lexsort((feature, owner))
-    feature, owner = feature[order], owner[order]
+    order = np.lexsort((pair, owner))
+    feature, owner = pair[order], owner[order]
     fresh = np.ones(len(feature), bool)
     fresh[1:] = (feature[1:] != feature[:-1]) | (owner[1:] != owner[:-1])
     feature, owner = feature[fresh], owner[fresh]

@@ -1,9 +1,13 @@
 """Each operator against brute force, an exact round trip or held-out data."""
 
 import itertools
+import json
 import random
 import re
+import subprocess
+import sys
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +50,17 @@ def test_words_and_hashes():
     assert common.without("héllo wörld".encode(), [(0, 6), (3, 7)]) == "wörld"
 
 
+def test_word_hashes_depend_on_order_and_not_on_the_process():
+    assert len(set(common.hashes_of("listen silent enlist tinsel"))) == 4
+    before = common.hashes_of("some words")
+    common.hashes_of("x" * 5000)
+    assert common.hashes_of("some words") == before
+    a, b = (words_of(t).grams(2)[0].tolist() for t in ("one two", "two one"))
+    assert a != b
+    fresh = subprocess.run([sys.executable, "-c", "from graphloom.llm import common; print(common.hashes_of('some words'))"], capture_output=True, text=True, cwd=Path(__file__).parents[2], check=True)
+    assert json.loads(fresh.stdout) == before
+
+
 def test_automaton():
     r = random.Random(3)
     for _ in range(60):
@@ -332,10 +347,9 @@ def brute_signature(text):
         features = {h[t[0]]}
     else:
         features = {int(common.mix(common.join(np.array([h[a], h[b]], np.uint64), 2))[0]) for a, b in itertools.pairwise(t)}
-    bits = 1  # one document: one bit tells documents apart
     total = np.zeros(256)
     for f in features:
-        f = np.array([f >> bits << bits], np.uint64)
+        f = np.array([f], np.uint64)
         total += np.unpackbits(np.concatenate([common.mix(f ^ s).view(np.uint8) for s in simhash_forest._SALT])) * 2.0 - 1
     return np.packbits(total > 0).tobytes()
 
