@@ -1,8 +1,12 @@
-"""Connected components of an edge table, by alternating large-star and small-star rounds."""
+"""Connected components of an edge table, by alternating large-star and small-star rounds.
+
+A round is two minima by group, combined before they travel, and joins with them that adaptive execution can split; no hub's
+edges have to meet in one task.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import cut
@@ -10,6 +14,12 @@ from graphloom.llm.common import cut
 MOST_ROUNDS = 60
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """edges(a, b) with the least b of each a as m."""
+    least = edges.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m"))
+    return edges.join(least, F.col("a") == F.col("c")).select("a", "b", "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) to (node, root): each node that is not the least of its component, with the least.
 
@@ -18,11 +28,10 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = cut(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
-    by = Window.partitionBy("a")
     for _ in range(MOST_ROUNDS):
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.withColumn("m", F.least(F.min("b").over(by), F.col("a"))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.withColumn("m", F.min("b").over(by))
+        large = cut(_least(both).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct())
+        least = _least(large)
         small = least.select("a", F.col("m").alias("b")).unionByName(least.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
         now = cut(small)
         sign = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s")).first()

@@ -383,14 +383,15 @@ def near_copies(corpus, groups=12, copies=9, rate=0.02):
     return out
 
 
-@pytest.mark.parametrize("shape", [None, (9, 13), (12, 24)])
-def test_near_duplicates(spark, corpus, monkeypatch, shape):
+SMALL = [{}, {"node": 8, "piece": 64}, {"node": 4, "piece": 2}, {"node": 4, "piece": 32, "rounds": 1, "block": 16}, {"rounds": 0, "block": 20}]
+
+
+@pytest.mark.parametrize("sizes", SMALL)
+def test_near_duplicates(spark, corpus, sizes):
     rows = near_copies(corpus)
-    if shape:
-        monkeypatch.setattr(simhash_forest, "shape", lambda *_: shape)
     d = frame(spark, [(i, t, "en", "a", 0) for i, t in rows])
     sign = {x["i"]: np.frombuffer(x["s"], np.uint64) for x in simhash_forest.signed(d).collect()}
-    got = {x["doc_id"]: x for x in simhash_forest.groups(d).collect()}
+    got = {x["doc_id"]: x for x in simhash_forest.groups(d, **sizes).collect()}
     pairs = [(a, b) for a, b in itertools.combinations(sign, 2) if np.bitwise_count(sign[a] ^ sign[b]).sum() <= simhash_forest.FARTHEST]
     assert len(pairs) > 300
     found = sum(got[a]["group_id"] == got[b]["group_id"] for a, b in pairs)
@@ -405,21 +406,58 @@ def test_near_duplicates(spark, corpus, monkeypatch, shape):
     for a, b in pairs:
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
-    if shape is None:
+    if not sizes:
         assert {i: x["group_id"] for i, x in got.items()} == {i: find(i) for i in sign}
+        kept = [x["doc_id"] for x in simhash_forest.deduplicated(d).collect()]
+        assert sorted(kept) == sorted(i for i, x in got.items() if x["kept"])
     for i, x in got.items():
         assert x["kept"] == (x["group_id"] == i) and find(x["group_id"]) == find(i)
-    kept = [x["doc_id"] for x in simhash_forest.deduplicated(d).collect()]
-    assert sorted(kept) == sorted(i for i, x in got.items() if x["kept"])
     assert all(got[i]["kept"] for i, *_ in corpus[0])
 
 
+def test_copies_in_any_layout_of_files(spark, corpus, tmp_path):
+    rows, _ = corpus
+    text = rows[0][1]
+    for name, lo, n in (("a", 0, 300), ("b", 1000, 30)):
+        frame(spark, [(lo + k, rows[1 + k % 150][1] + f" w{lo + k}" if k else text, "en", "a", 0) for k in range(n)]).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    got = {x["doc_id"]: x["group_id"] for x in simhash_forest.groups(spark.read.parquet(f"{tmp_path}/a", f"{tmp_path}/b")).collect()}
+    assert got[0] == got[1000] == 0
+
+
+def test_ids_with_several_texts_join_them(spark, corpus):
+    rows, words = corpus
+    a, b, c = (words("en", 80) for _ in range(3))
+    d = frame(spark, [(i, t, "en", "a", 0) for i, t in [(1, a), (5, a), (5, b), (3, b), (7, c), (7, words("fr", 60)), (7, None), (9, c)]])
+    got = {(x["doc_id"], x["group_id"]) for x in simhash_forest.groups(d).collect()}
+    assert got == {(1, 1), (5, 1), (3, 1), (7, 7), (9, 7)}
+
+
+def test_depths_of_sorted_keys():
+    r = np.random.default_rng(3)
+    key = np.sort(np.concatenate([r.integers(0, 1 << 48, 300), r.integers(0, 1 << 20, 200), np.full(9, 77)]))
+    for top, most in ((0, 5), (3, 20), (0, 1000)):
+        for k, d in zip(key.tolist(), simhash_forest.depths(key, top, most).tolist(), strict=True):
+            size = {x: int((key >> (48 - x) == k >> (48 - x)).sum()) for x in range(top, 49)}
+            assert d == next((x for x in range(top, 48) if size[x] <= most), 48)
+
+
+def test_nodes_of_any_size_are_joined_like_all_pairs(corpus):
+    r = np.random.default_rng(5)
+    base = r.integers(0, 2**63, (40, 4)).astype(np.uint64)
+    noise = np.packbits(r.random((2000, 256)) < 0.06, axis=1).view(np.uint64)
+    sign = base[r.integers(0, 40, 2000)] ^ noise
+    a, b = simhash_forest.joined(sign, 46), simhash_forest.linked(sign, 46)
+    assert len(set(zip(a.tolist(), b.tolist(), strict=True))) == len(set(a.tolist())) == len(set(b.tolist()))
+    for part in (sign[:1], sign[:300]):
+        assert (simhash_forest.joined(part, 46) == simhash_forest.linked(part, 46)).all()
+
+
 def test_shape_reaches_its_recall():
     p = 1 - simhash_forest.FARTHEST / simhash_forest.BITS
     last = 0
     for n in (1, 100, 10_000, 1_000_000, 10**8):
-        depth, tries = simhash_forest.shape(n)
-        assert 1 - (1 - p**depth) ** tries >= simhash_forest.RECALL and depth >= last
+        depth, tries = simhash_forest.shape(n, np.log(1 - simhash_forest.RECALL))
+        assert 1 - (1 - p**depth) ** tries >= simhash_forest.RECALL - 1e-9 and depth >= last
         last = depth
 
 
