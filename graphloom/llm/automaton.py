@@ -4,30 +4,58 @@ from __future__ import annotations
 
 from collections.abc import Hashable, Iterable, Sequence
 
+import numpy as np
+
 
 class SuffixAutomaton:
-    """Accepts every substring of the given sequences. Occurrences are kept for substrings of `least` tokens or more."""
+    """Accepts every substring of the given sequences; `own` finds those of `least` tokens or more.
+
+    Which sequences hold a state's substrings, and where, is read off the tree of suffix links: its ancestors mark a prefix's
+    substrings, so memory stays near the sequences' size, however they repeat themselves.
+    """
 
     def __init__(self, sequences: Iterable[Sequence[Hashable]], least: int = 1):
         self.next: list[dict] = [{}]
         self.link = [-1]
         self.length = [0]
         self.least = least
-        ends: dict[int, list[tuple[int, int]]] = {}
         self.sizes: list[int] = []
-        for k, tokens in enumerate(sequences):
-            last = 0
-            for at, token in enumerate(tokens):
+        self._paths: list[np.ndarray] = []
+        for tokens in sequences:
+            last, path = 0, []
+            for token in tokens:
                 last = self._extend(last, token)
-                ends.setdefault(last, []).append((k, at + 1))
-            self.sizes.append(len(tokens))
-        #: (sequence, end) of each occurrence of a state's substrings
-        self.ends = ends
-        self._owners: dict[int, set[int]] = {}
-        for state in sorted(range(1, len(self.next)), key=self.length.__getitem__, reverse=True):
+                path.append(last)
+            self.sizes.append(len(path))
+            self._paths.append(np.array(path, np.int32))
+        self._owners: list[list[int]] | None = None
+
+    def _index(self) -> None:
+        """Each state's sequences, its nearest ancestor that more of them hold, and its place in the tree of links."""
+        n = len(self.next)
+        owners: list[list[int]] = [[] for _ in range(n)]
+        mark = [-1] * n
+        for k, path in enumerate(self._paths):
+            for state in path.tolist():
+                while self.length[state] >= self.least and mark[state] != k:
+                    mark[state] = k
+                    owners[state].append(k)
+                    state = self.link[state]
+        order = sorted(range(1, n), key=self.length.__getitem__)
+        jump, under = [0] * n, [1] * n
+        for state in order:
             up = self.link[state]
-            if self.length[up] >= least and state in ends:
-                ends.setdefault(up, []).extend(ends[state])
+            jump[state] = up if len(owners[up]) != len(owners[state]) else jump[up]
+        for state in reversed(order):
+            under[self.link[state]] += under[state]
+        begin, free = [0] * n, [1] * n
+        for state in order:
+            up = self.link[state]
+            begin[state] = begin[up] + free[up]
+            free[up] += under[state]
+        self._begin, self._under, self._jump = np.array(begin), under, jump
+        self._places = [self._begin[path] for path in self._paths]
+        self._owners = owners
 
     def _new(self, length: int, edges: dict, link: int) -> int:
         self.next.append(edges)
@@ -74,33 +102,25 @@ class SuffixAutomaton:
             out.append((length, state))
         return out
 
-    def maximal(self, tokens: Sequence[Hashable], least: int | None = None) -> list[tuple[int, int, int]]:
-        """(start, end, state) of the matches of at least `least` tokens that no longer match contains."""
-        least = least or self.least
-        m = self.matching(tokens)
-        return [(k + 1 - n, k + 1, state) for k, (n, state) in enumerate(m) if n >= least and (k + 1 == len(m) or m[k + 1][0] <= n)]
-
-    def occurrences(self, state: int, length: int) -> list[tuple[int, int, int]]:
-        """(sequence, start, end) of the substring of that length that ends in the state."""
-        return [(k, end - length, end) for k, end in self.ends.get(state, ())]
+    def occurrences(self, state: int, length: int, sequence: int) -> list[tuple[int, int]]:
+        """(start, end) in a sequence of the substring of that length that ends in the state."""
+        if self._owners is None:
+            self._index()
+        at, lo = self._places[sequence], self._begin[state]
+        return [(e + 1 - length, e + 1) for e in np.flatnonzero((at >= lo) & (at < lo + self._under[state])).tolist()]
 
-    def own(self, tokens: Sequence[Hashable], least: int | None = None) -> dict[int, list[tuple[int, int, int, int]]]:
+    def own(self, tokens: Sequence[Hashable]) -> dict[int, list[tuple[int, int, int, int]]]:
         """Of each sequence: (start, end, start in it, end in it) of its own matches of at least `least` tokens that none of its own longer matches contains."""
-        least = least or self.least
-        m = self.matching(tokens)
+        if self._owners is None:
+            self._index()
         best: dict[int, dict[int, tuple[int, int]]] = {}
-        for k, (n, state) in enumerate(m):
-            while n >= least:
-                for q in self.owners(state):
-                    ends = best.setdefault(q, {})
-                    if k + 1 not in ends:
-                        ends[k + 1] = (n, state)
-                state = self.link[state]
+        for k, (n, state) in enumerate(self.matching(tokens), 1):
+            seen: set[int] = set()
+            while n >= self.least:
+                for q in self._owners[state]:
+                    if q not in seen:
+                        seen.add(q)
+                        best.setdefault(q, {})[k] = (n, state)
+                state = self._jump[state]
                 n = self.length[state]
-        return {q: [(e - n, e, end - n, end) for e, (n, state) in ends.items() if ends.get(e + 1, (0, 0))[0] <= n for k, end in self.ends[state] if k == q] for q, ends in best.items()}
-
-    def owners(self, state: int) -> set[int]:
-        """The sequences that hold a state's substrings."""
-        if state not in self._owners:
-            self._owners[state] = {k for k, _ in self.ends.get(state, ())}
-        return self._owners[state]
+        return {q: [(e - n, e, s, t) for e, (n, state) in ends.items() if ends.get(e + 1, (0, 0))[0] <= n for s, t in self.occurrences(state, n, q)] for q, ends in best.items()}

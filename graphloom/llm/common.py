@@ -180,6 +180,61 @@ def without(raw: bytes, spans: list[tuple[int, int]]) -> str:
     return b"".join(out).decode("utf-8", "replace")
 
 
+def listed(column: pa.Array, names: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A column of lists of structs as each row's range and the fields' values."""
+    values = column.flatten()
+    return np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())]), [values.field(x).to_numpy(zero_copy_only=False) for x in names]
+
+
+def merged(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs a..b of each row, joined where they touch or overlap: (row, a, b) by row and place."""
+    if not len(row):
+        return row, a, b
+    order = np.lexsort((a, row))
+    row, a, b = (x[order].astype(np.int64) for x in (row, a, b))
+    wide = int(b.max()) + 1
+    from_, to = row * wide + a, np.maximum.accumulate(row * wide + b)
+    new = np.ones(len(row), bool)
+    new[1:] = from_[1:] > to[:-1]
+    at = np.flatnonzero(new)
+    return row[at], a[at], to[np.append(at[1:], len(row)) - 1] - row[at] * wide
+
+
+def replaced(b: pa.RecordBatch, text: str, chars: str, new: dict[int, str]) -> pa.RecordBatch:
+    """The batch with some rows' texts, and their lengths, replaced."""
+    for name, values in ((text, new), (chars, {k: len(v) for k, v in new.items()})):
+        if new and (k := b.schema.get_field_index(name)) >= 0:
+            mask = np.zeros(b.num_rows, bool)
+            mask[sorted(values)] = True
+            column = pc.replace_with_mask(b.column(k), pa.array(mask), pa.array([values[x] for x in sorted(values)], b.column(k).type))
+            b = b.set_column(k, b.schema.field(k), column)
+    return b
+
+
+def without_runs(text: str, chars: str):
+    """For mapInArrow: the last column lists runs of words (a, b) to remove from each row's text. Rows that have no other words go; `chars`, if there, is counted anew."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            edges, (begin, end) = listed(b.column(b.num_columns - 1), ("a", "b"))
+            owner, begin, end = merged(np.repeat(np.arange(b.num_rows), np.diff(edges)), begin, end)
+            rows, first = np.unique(owner, return_index=True)
+            first = np.append(first, len(owner))
+            b = b.select(list(range(b.num_columns - 1)))
+            new, keep = {}, np.ones(b.num_rows, bool)
+            data, offsets = utf8(b.column(b.schema.get_field_index(text)).take(pa.array(rows, pa.int64())))
+            for lo, hi, words in pieces(data, offsets):
+                for d in range(hi - lo):
+                    x, y = begin[first[lo + d] : first[lo + d + 1]], end[first[lo + d] : first[lo + d + 1]]
+                    row, base, word = int(rows[lo + d]), words.offsets[d], words.lo[d]
+                    keep[row] = int((y - x).sum()) < words.hi[d] - word
+                    raw = words.data[base : words.offsets[d + 1]].tobytes()
+                    new[row] = without(raw, list(zip((words.start[word + x] - base).tolist(), (words.end[word + y - 1] - base).tolist(), strict=True)))
+            yield replaced(b, text, chars, new).filter(pa.array(keep))
+
+    return run
+
+
 class Filter:
     """Tells which hashes are in a set: a bitmap first, then the sorted set."""
 

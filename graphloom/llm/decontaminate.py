@@ -2,11 +2,16 @@
 
 Every document's words stream past the items. A word sequence of LEAST words that no item holds ends any match that could
 count, so documents without one are passed by a vectorised look-up; all others run through the automaton, which gives
-the longest match that ends at each word. An item leaks where one match has LONGEST words, or where matches of LEAST words or
-more, no further apart than the item is long, cover COVERAGE of it. The matched spans of leaking items are removed.
+each item's own longest match that ends at each word, whatever longer match of another item it lies in. An item leaks where one match has
+LONGEST words, or where matches of LEAST words or more, no further apart than the item is long, cover COVERAGE of it. The matched spans
+of leaking items are removed.
+
+An automaton takes about 100 bytes a character of items in every Python worker, so a benchmark of more than SHARD_CHARS characters is cut into shards that documents pass
+one after another. Spans of all shards refer to the original text and are merged before any is removed: results don't depend on
+the shards.
 
 Items of fewer than LEAST words, null and empty items and documents match nothing. Repeated items count once, under each of their ids. Null and repeated document ids are rows
-like any other. An empty benchmark finds nothing. Extra columns are ignored, and kept by `cleaned`.
+like any other. Very long texts are read whole. An empty benchmark finds nothing. Extra columns are ignored, and kept by `cleaned`.
 """
 
 from __future__ import annotations
@@ -15,18 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.automaton import SuffixAutomaton
-from graphloom.llm.common import Filter, Words, hashes_of, pieces, utf8, without
+from graphloom.llm.common import Filter, Words, hashes_of, pieces, replaced, utf8, without, without_runs
 
 LEAST = 5
 LONGEST = 13
 COVERAGE = 0.6
-#: Characters of items that one automaton takes; more items are cut into shards that documents pass one after another.
-SHARD_CHARS = 20_000_000
+#: Characters of items that one automaton takes.
+SHARD_CHARS = 4_000_000
 _built: dict[tuple, "Items"] = {}
 
 
@@ -42,22 +46,18 @@ class Items:
 
     def find(self, tokens: list[int]) -> tuple[list, int, float, list[tuple[int, int]]]:
         """Leaking items, their longest match, their best coverage, and the word ranges to remove."""
-        by_item: dict[int, dict[tuple[int, int], list[tuple[int, int]]]] = {}
-        for a, b, state in self.automaton.maximal(tokens):
-            for k, s, e in self.automaton.occurrences(state, b - a):
-                by_item.setdefault(k, {}).setdefault((a, b), []).append((s, e))
         names, longest, best, spans = [], 0, 0.0, set()
-        for k, found in by_item.items():
+        for k, matches in self.automaton.own(tokens).items():
             size = self.automaton.sizes[k]
-            group: list[tuple[int, int]] = []
-            for at in [*sorted(found), None]:
+            group: list[tuple[int, int, int, int]] = []
+            for at in [*sorted(matches), None]:
                 if group and (at is None or at[0] - group[-1][1] > size):
-                    most = max(b - a for a, b in group)
-                    share = len({x for g in group for s, e in found[g] for x in range(s, e)}) / size
+                    most = max(b - a for a, b, _, _ in group)
+                    share = _covered([(s, e) for _, _, s, e in group]) / size
                     if most >= self.longest or share >= self.coverage:
                         names.append(self.names[k])
                         longest, best = max(longest, most), max(best, share)
-                        spans.update(group)
+                        spans.update((a, b) for a, b, _, _ in group)
                     group = []
                 if at:
                     group.append(at)
@@ -66,7 +66,7 @@ class Items:
     def scan(self, column: pa.Array) -> Iterator[tuple[int, Words, int, tuple]]:
         """(row, the words of its piece, its place among them, what was found) of each document with a leak."""
         data, offsets = utf8(column)
-        for lo, hi, words in pieces(data, offsets):
+        for lo, _, words in pieces(data, offsets):
             h, at = words.grams(self.least)
             hits = at[self.seen(h)]
             for d in np.unique(np.searchsorted(words.lo, hits, "right") - 1).tolist():
@@ -76,6 +76,12 @@ class Items:
                     yield lo + d, words, d, found
 
 
+def _covered(spans: list[tuple[int, int]]) -> int:
+    """Places that lie in any of the ranges."""
+    a, b = np.array(spans).T
+    return int((np.cumsum(np.bincount(a, minlength=b.max() + 1) - np.bincount(b, minlength=b.max() + 1)) > 0).sum())
+
+
 def _items(items: tuple, limits: tuple) -> Items:
     if (items, limits) not in _built:
         _built.clear()
@@ -83,95 +89,105 @@ def _items(items: tuple, limits: tuple) -> Items:
     return _built[items, limits]
 
 
-def shards(benchmark: DataFrame, item: str, text: str, most: int = SHARD_CHARS) -> Iterator[tuple]:
+def shards(benchmark: DataFrame, item: str, text: str, most: int = SHARD_CHARS) -> list[tuple]:
     rows = benchmark.select(F.col(item).alias("i"), F.col(text).cast("string").alias("t")).where(F.length("t") > 0)
     parts = -(-(rows.agg(F.sum(F.length("t")).alias("n")).first()["n"] or 0) // most)
-    for k in range(parts):
-        part = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k)
-        yield tuple(sorted({(x["i"], x["t"]) for x in part.collect()}, key=str))
+    cut = [rows] if parts == 1 else [rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k) for k in range(parts)]
+    return [tuple(sorted({(x["i"], x["t"]) for x in part.collect()}, key=str)) for part in cut]
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: int = LEAST, longest: int = LONGEST, coverage: float = COVERAGE, shard_chars: int = SHARD_CHARS) -> DataFrame:
-    """A row per document and shard of items that leak into it: id, items, longest match, best coverage, spans of characters."""
-    kind = documents.schema[id].dataType.simpleString()
-    name = benchmark.schema[item].dataType.simpleString()
-    schema = f"`{id}` {kind}, items array<{name}>, longest int, coverage double, spans array<struct<start:bigint,end:bigint>>, words long, removed long"
-    rows = documents.select(F.col(id).alias("i"), F.col(text).cast("string").alias("t"))
-    out = documents.sparkSession.createDataFrame([], schema)
-    first = True
-    for items in shards(benchmark, item, item_text, shard_chars):
-        part = rows.mapInArrow(_finder(items, (least, longest, coverage), _arrow(name)), schema)
-        out, first = part if first else out.unionByName(part), False
-    return out
+RUNS = "array<struct<a:int,b:int,start:bigint,end:bigint>>"
+_RUNS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _arrow(name: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
+def _hits(rows: DataFrame, benchmark: DataFrame, item: str, parts: list[tuple], limits: tuple) -> DataFrame:
+    """A row per row of (i, h, g, t) and shard with a leak: i, h, g, items, longest, coverage, runs (words a..b, characters start..end), words, shard."""
+    from pyspark.sql.pandas.types import to_arrow_type
 
+    kind, name = rows.schema["i"].dataType.simpleString(), benchmark.schema[item].dataType
+    schema = f"i {kind}, h long, g long, items array<{name.simpleString()}>, longest int, coverage double, runs {RUNS}, words long, shard int"
+    out = rows.sparkSession.createDataFrame([], schema)
+    for k, items in enumerate(parts):
+        found = rows.mapInArrow(_finder(items, limits, to_arrow_type(name), k), schema)
+        out = out.unionByName(found) if k else found
+    return out
 
-SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
+def _twice(text: str) -> list[Column]:
+    """Two hashes of a text, which tell texts apart."""
+    return [F.xxhash64(text).alias("h"), F.xxhash64(text, F.lit(1)).alias("g")]
 
-def _finder(items: tuple, limits: tuple, name: pa.DataType):
+
+def contaminated(documents: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: int = LEAST, longest: int = LONGEST, coverage: float = COVERAGE, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """A row per document that an item leaks into: id, items, longest match, best coverage, spans of characters, words, and how many are removed."""
+    parts = shards(benchmark, item, item_text, shard_chars)
+    rows = documents.select(F.col(id).alias("i"), *_twice(text), F.col(text).cast("string").alias("t"))
+    found = _hits(rows, benchmark, item, parts, (least, longest, coverage))
+    if len(parts) > 1:
+        # of rows that repeat id and text, every shard finds as many
+        one = found.groupBy("i", "h", "g", "shard").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("items", "longest", "coverage", "runs", "words")])
+        every = one.groupBy("i", "h", "g").agg(F.max("n").alias("n"), *[F.flatten(F.collect_list(c)).alias(c) for c in ("items", "runs")], *[F.max(c).alias(c) for c in ("longest", "coverage", "words")])
+        found = every.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    removed = "aggregate(runs, struct(0L as n, 0 as at), (x, y) -> struct(x.n + greatest(0, y.b - greatest(x.at, y.a)) as n, greatest(x.at, y.b) as at), x -> x.n)"
+    merged = found.withColumn("runs", F.array_sort(F.array_distinct("runs"))).withColumn("items", F.array_sort(F.array_distinct("items")))
+    return merged.select(F.col("i").alias(id), "items", "longest", "coverage", F.transform("runs", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("spans"), "words", F.expr(removed).alias("removed"))
+
+
+def _finder(items: tuple, limits: tuple, name: pa.DataType, shard: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _items(items, limits)
         for b in batches:
-            rows, found, spans, sizes, gone = [], [], [], [], []
-            for row, words, d, what in known.scan(b.column(1)):
+            rows, found, runs, sizes = [], [], [], []
+            for row, words, d, what in known.scan(b.column(3)):
                 at, to = words.offsets[d], words.offsets[d + 1]
                 chars = np.concatenate([[0], np.cumsum((words.data[at:to] & 0xC0) != 0x80)])
                 first = words.lo[d]
                 rows.append(row)
                 found.append(what)
-                spans.append([{"start": int(chars[words.start[first + a] - at]), "end": int(chars[words.end[first + e - 1] - at])} for a, e in what[3]])
+                runs.append([{"a": a, "b": e, "start": int(chars[words.start[first + a] - at]), "end": int(chars[words.end[first + e - 1] - at])} for a, e in what[3]])
                 sizes.append(int(words.hi[d] - first))
-                gone.append(len({x for a, e in what[3] for x in range(a, e)}))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0).take(pa.array(rows, pa.int64())),
-                    pa.array([f[0] for f in found], pa.list_(name)),
-                    pa.array([f[1] for f in found], pa.int32()),
-                    pa.array([round(f[2], 6) for f in found], pa.float64()),
-                    pa.array(spans, SPANS),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(gone, pa.int64()),
-                ],
-                ["i", "items", "longest", "coverage", "spans", "words", "removed"],
-            )
+            take = pa.array(rows, pa.int64())
+            columns = [
+                pa.array([f[0] for f in found], pa.list_(name)),
+                pa.array([f[1] for f in found], pa.int32()),
+                pa.array([round(f[2], 6) for f in found], pa.float64()),
+                pa.array(runs, _RUNS),
+                pa.array(sizes, pa.int64()),
+                pa.array(np.full(len(rows), shard, np.int32)),
+            ]
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(take) for k in range(3)), *columns], ["i", "h", "g", "items", "longest", "coverage", "runs", "words", "shard"])
 
     return run
 
 
 def cleaned(documents: DataFrame, benchmark: DataFrame, text: str = "text", chars: str = "n_chars", item: str = "item_id", item_text: str = "text", least: int = LEAST, longest: int = LONGEST, coverage: float = COVERAGE, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """The documents without leaked spans; those that have no other words go. `chars`, if there, is counted anew."""
-    for items in shards(benchmark, item, item_text, shard_chars):
-        documents = documents.mapInArrow(_cleaner(items, (least, longest, coverage), text, chars), documents.schema)
-    return documents
+    parts, limits = shards(benchmark, item, item_text, shard_chars), (least, longest, coverage)
+    if not parts:
+        return documents
+    if len(parts) == 1:
+        return documents.mapInArrow(_cleaner(parts[0], limits, text, chars), documents.schema)
+    rows = documents.select(F.lit(None).cast("int").alias("i"), *_twice(text), F.col(text).cast("string").alias("t"))
+    found = _hits(rows, benchmark, item, parts, limits).select(F.col("h").alias("__graphloom_h"), F.col("g").alias("__graphloom_g"), F.explode("runs").alias("r")).groupBy("__graphloom_h", "__graphloom_g").agg(F.collect_set("r").alias("__graphloom_runs"))
+    h, g = _twice(text)
+    keyed = documents.withColumns({"__graphloom_x": h, "__graphloom_y": g})
+    every = keyed.join(found, (keyed["__graphloom_x"] == found["__graphloom_h"]) & (keyed["__graphloom_y"] == found["__graphloom_g"]), "left")
+    return every.select(*[keyed[f"`{c}`"] for c in documents.columns], found["__graphloom_runs"]).mapInArrow(without_runs(text, chars), documents.schema)
 
 
 def _cleaner(items: tuple, limits: tuple, text: str, chars: str):
+    """As `without_runs`, for the only shard: in one pass."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _items(items, limits)
         for b in batches:
             new: dict[int, str] = {}
-            gone = np.ones(b.num_rows, bool)
+            keep = np.ones(b.num_rows, bool)
             column = b.column(b.schema.get_field_index(text))
             for row, words, d, what in known.scan(column):
                 at, to, first = words.offsets[d], words.offsets[d + 1], words.lo[d]
-                if len({x for a, e in what[3] for x in range(a, e)}) == words.hi[d] - first:
-                    gone[row] = False
+                keep[row] = _covered(what[3]) < words.hi[d] - first
                 new[row] = without(words.data[at:to].tobytes(), [(int(words.start[first + a] - at), int(words.end[first + e - 1] - at)) for a, e in what[3]])
-            yield replaced(b, text, chars, new).filter(pa.array(gone))
+            yield replaced(b, text, chars, new).filter(pa.array(keep))
 
     return run
-
-
-def replaced(b: pa.RecordBatch, text: str, chars: str, new: dict[int, str]) -> pa.RecordBatch:
-    """The batch with some rows' texts, and their lengths, replaced."""
-    for name, values in ((text, new), (chars, {k: len(v) for k, v in new.items()})):
-        if new and (k := b.schema.get_field_index(name)) >= 0:
-            mask = np.zeros(b.num_rows, bool)
-            mask[sorted(values)] = True
-            column = pc.replace_with_mask(b.column(k), pa.array(mask), pa.array([values[x] for x in sorted(values)], b.column(k).type))
-            b = b.set_column(k, b.schema.field(k), column)
-    return b

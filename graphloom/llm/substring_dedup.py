@@ -19,12 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WORD, Words, content_key, cut, fold, join, mix, pieces, utf8, without
-from graphloom.llm.decontaminate import replaced
+from graphloom.llm.common import WORD, Words, content_key, cut, fold, join, listed, merged, mix, pieces, utf8, without_runs
 
 WINDOW = 50
 SEED = 8
@@ -80,17 +78,11 @@ def _minimise(window: int, seed: int):
     return run
 
 
-def _listed(column: pa.Array, names: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """A column of lists of structs as each row's range and the fields' values."""
-    values = column.flatten()
-    return np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())]), [values.field(x).to_numpy(zero_copy_only=False) for x in names]
-
-
 def _pack(buckets: int, window: int, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = utf8(b.column(2))
-            edges, listed = _listed(b.column(3), ("m", "s", "n", "c"))
+            edges, fields = listed(b.column(3), ("m", "s", "n", "c"))
             for lo, hi, words in pieces(data, offsets):
                 low = fold(words.data)
                 inside = WORD[low]
@@ -103,7 +95,7 @@ def _pack(buckets: int, window: int, hot: int):
                 rows, bucket, first, count, text = [], [], [], [], []
                 for d in range(lo, hi):
                     base = int(words.lo[d - lo])
-                    for m, s, n, c in zip(*[x[edges[d] : edges[d + 1]].tolist() for x in listed], strict=True):
+                    for m, s, n, c in zip(*[x[edges[d] : edges[d + 1]].tolist() for x in fields], strict=True):
                         if c <= hot:
                             parts = [(m, s, n)]
                         else:
@@ -186,20 +178,6 @@ def _count(window: int, kind: pa.DataType):
     return run
 
 
-def merged(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs a..b of each row, joined where they touch or overlap: (row, a, b) by row and place."""
-    if not len(row):
-        return row, a, b
-    order = np.lexsort((a, row))
-    row, a, b = (x[order].astype(np.int64) for x in (row, a, b))
-    wide = int(b.max()) + 1
-    from_, to = row * wide + a, np.maximum.accumulate(row * wide + b)
-    new = np.ones(len(row), bool)
-    new[1:] = from_[1:] > to[:-1]
-    at = np.flatnonzero(new)
-    return row[at], a[at], to[np.append(at[1:], len(row)) - 1] - row[at] * wide
-
-
 def _spans(documents: DataFrame, id: str, text: str, window: int, seed: int, hot: int, bucket: int) -> DataFrame:
     """(i, h, r): per document with repeated windows, runs of words (a, b) and whether they are removed (later)."""
     from pyspark.sql.pandas.types import to_arrow_type
@@ -225,7 +203,7 @@ def repeats(documents: DataFrame, id: str = "doc_id", text: str = "text", window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            edges, (later, begin, end) = _listed(b.column(1), ("later", "a", "b"))
+            edges, (later, begin, end) = listed(b.column(1), ("later", "a", "b"))
             owner = np.repeat(np.arange(b.num_rows), np.diff(edges))
             lists, sums = [], []
             for on in (~later, later):
@@ -246,22 +224,4 @@ def cleaned(documents: DataFrame, id: str = "doc_id", text: str = "text", chars:
     keyed = documents.withColumn("__graphloom_key", content_key(text))
     every = keyed.join(spans, keyed[id].eqNullSafe(spans["__graphloom_i"]) & (keyed["__graphloom_key"] == spans["__graphloom_h"]), "left").select(*[keyed[c] for c in names], spans["__graphloom_spans"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            edges, (begin, end) = _listed(b.column(len(names)), ("a", "b"))
-            owner, begin, end = merged(np.repeat(np.arange(b.num_rows), np.diff(edges)), begin, end)
-            rows, first = np.unique(owner, return_index=True)
-            first = np.append(first, len(owner))
-            b = b.select(list(range(len(names))))
-            new, keep = {}, np.ones(b.num_rows, bool)
-            data, offsets = utf8(b.column(b.schema.get_field_index(text)).take(pa.array(rows, pa.int64())))
-            for lo, hi, words in pieces(data, offsets):
-                for d in range(hi - lo):
-                    x, y = begin[first[lo + d] : first[lo + d + 1]], end[first[lo + d] : first[lo + d + 1]]
-                    row, base, word = int(rows[lo + d]), words.offsets[d], words.lo[d]
-                    keep[row] = int((y - x).sum()) < words.hi[d] - word
-                    raw = words.data[base : words.offsets[d + 1]].tobytes()
-                    new[row] = without(raw, list(zip((words.start[word + x] - base).tolist(), (words.end[word + y - 1] - base).tolist(), strict=True)))
-            yield replaced(b, text, chars, new).filter(pa.array(keep))
-
-    return every.mapInArrow(run, documents.schema)
+    return every.mapInArrow(without_runs(text, chars), documents.schema)

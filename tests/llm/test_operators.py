@@ -75,7 +75,7 @@ def test_automaton():
             best = max(x for x in range(k + 2) if x == 0 or where(text[k + 1 - x : k + 1]))
             assert n == best
             if n:
-                assert set(m.occurrences(state, n)) == where(text[k + 1 - n : k + 1])
+                assert {(q, s, e) for q in range(3) for s, e in m.occurrences(state, n, q)} == where(text[k + 1 - n : k + 1])
 
 
 # 1
@@ -253,8 +253,38 @@ def test_decontaminate(spark, corpus):
             assert clean[i] == t
         else:
             assert {k for s in got[i]["spans"] for k in range(len(tokens(t[: s["start"]])), len(tokens(t[: s["end"]])))} == gone
-    sharded = decontaminate.contaminated(d, b, shard_chars=500).collect()
-    assert {x["doc_id"] for x in sharded} == set(want)
+    for chars in (60, 500):
+        sharded = {x["doc_id"]: x for x in decontaminate.contaminated(d, b, shard_chars=chars).collect()}
+        assert sharded == got
+        assert {x["doc_id"]: x["text"] for x in decontaminate.cleaned(d, b, shard_chars=chars).collect()} == clean
+
+
+def test_overlapping_items_in_different_shards(spark):
+    words = [f"a{k}" for k in range(50)]
+    d = frame(spark, [(1, " ".join(words), "en", "a", 0), (1, " ".join(words), "en", "a", 0), (None, " ".join(words), "en", "a", 0), (2, "other words than those", "en", "a", 0)])
+    b = spark.createDataFrame([("x", " ".join(words[:30])), ("y", " ".join(words[18:40])), (None, " ".join(words[18:40]))], "item_id string, text string")
+    want = [(None, ["x", "y", None], 30, 40), (1, ["x", "y", None], 30, 40), (1, ["x", "y", None], 30, 40)]
+    for chars in (60, 20_000_000):
+        got = decontaminate.contaminated(d, b, shard_chars=chars).collect()
+        assert sorted(((x["doc_id"], x["items"], x["longest"], x["removed"]) for x in got), key=str) == sorted(want, key=str)
+        clean = sorted((x["text"] for x in decontaminate.cleaned(d, b, shard_chars=chars).collect()))
+        assert [t.strip() for t in clean] == [" ".join(words[40:])] * 3 + ["other words than those"]
+
+
+def test_items_inside_longer_matches_of_others(spark):
+    long = [f"b{k}" for k in range(100)]
+    short = long[40:46]
+    d = frame(spark, [(1, "before it " + " ".join(long[38:48]) + " after it", "en", "a", 0), (2, " ".join(long[:60]), "en", "a", 0), (3, " ".join(long[10:19]), "en", "a", 0)])
+    b = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(short))], "item_id long, text string")
+    got = {x["doc_id"]: (x["items"], x["removed"]) for x in decontaminate.contaminated(d, b).collect()}
+    assert got == {1: ([2], 6), 2: ([1, 2], 60)}
+
+
+def test_items_of_equal_words(spark):
+    d = frame(spark, [(1, "same " * 9 + "other " + "same " * 30_000, "en", "a", 0)])
+    b = spark.createDataFrame([(1, "same " * 20_000)], "item_id long, text string")
+    (x,) = decontaminate.contaminated(d, b).collect()
+    assert (x["longest"], x["coverage"], x["words"], x["removed"]) == (20_000, 1.0, 30_010, 30_009)
 
 
 # 5
@@ -319,7 +349,7 @@ def test_license_chains_are_best():
         template = " ".join(r.choices(vocabulary, k=10))
         t = license_scan.Templates([("x", template)], coverage=0.01)
         doc = common.hashes_of(" ".join(r.choices(vocabulary, k=16)))
-        matches = sorted({(a, b, s, e) for a, b, state in t.automaton.maximal(doc) for _, s, e in t.automaton.occurrences(state, b - a)})
+        matches = sorted(set(t.automaton.own(doc).get(0, [])))
         if not matches:
             continue
 
