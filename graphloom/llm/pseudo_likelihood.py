@@ -5,13 +5,14 @@ neighbours up and their sum passes a tanh; a class of words and then the word in
 sum of its words' conditional log-probabilities, each word being masked in turn.
 
 Outputs are the commonest words of the whole corpus, hash buckets that share the others (a quarter of the outputs), and the
-document's edge (a neighbour only). Their number grows with the square root of the corpus' words (`width`), so that what partitions send
-to be averaged stays in proportion. A word in a bucket has the bucket's probability times its own share of the bucket's count, so
-every word of the corpus has its own probability. Word counts come from all documents; scoring has those of the KNOWN
-commonest words at hand and joins the documents' other words with the rest. Training is distributed: in each of ROUNDS rounds every partition starts
-from the same weights, runs Adagrad over all of its own documents (with EVERY above 1 over those whose text's hash is 0
-modulo EVERY), and the weights are averaged by words trained on, in two levels, so that a group holds the square root of the
-partitions' number.
+document's edge (a neighbour only). Their number grows with the fourth root of the corpus' words (`width`): a partition sends its whole
+network to be averaged, which has to stay small beside the text that it reads. A word in a bucket has the bucket's probability times its
+own share of the bucket's count, so every word of the corpus has its own probability. Word counts come from all documents; scoring has
+those of the KNOWN commonest words at hand and joins the documents' other words with the rest.
+
+Training is distributed. Every document is trained on once, in one of ROUNDS rounds by a hash of its text; in each, every partition starts from
+the same weights, runs Adagrad over its own documents of that round, and the weights are averaged by words trained on, in two
+levels, so that a group holds the square root of the partitions' number.
 
 Null, empty and wordless texts have 0 words, log-likelihood 0 and a null mean. Null and repeated ids are rows like any
 other; extra columns are ignored. A corpus without words leaves the network as it starts. Weights depend on how the input is
@@ -41,17 +42,18 @@ EDGE = OUTPUTS - 1
 #: Words besides the outputs whose counts every task has in memory.
 KNOWN = 1 << 20
 HIDDEN = 32
-EVERY = 1
 ROUNDS = 2
-RATE = 0.05
-BATCH = 2048
+RATE = 0.1
+BATCH = 8192
+#: Softmax inputs stay within this.
+LARGEST = 60.0
 BLOCK = 1 << 12
 PLACES = [x for x in range(-RADIUS, RADIUS + 1) if x]
 
 
 def width(words: int) -> int:
     """Classes, and words per class, for a corpus of so many words."""
-    return max(CLASSES, math.ceil(words**0.25 / 2))
+    return max(CLASSES, math.ceil(4 * words**0.125))
 
 
 class Vocabulary:
@@ -113,60 +115,73 @@ class Network:
         return self
 
     def _forward(self, around: np.ndarray, word: np.ndarray, gradient: bool):
-        h = self.bias + self.look[0][around[0]]
+        """Scores of the words sorted by class, that order, and the gradients."""
+        kind = (word // self.per).astype(np.uint16)
+        order = np.argsort(kind, kind="stable")
+        kind, word, around = kind[order], word[order], around[:, order]
+        edges = np.searchsorted(kind, np.arange(self.classes + 1))
+        h = self.look[0].take(around[0], axis=0)
+        h += self.bias
         for k in range(1, len(PLACES)):
-            h += self.look[k][around[k]]
+            h += self.look[k].take(around[k], axis=0)
         np.tanh(h, out=h)
-        kind = word // self.per
-        order = np.argsort(kind, kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(self.classes + 1))
         a = h @ self.to_class
         a += self.class_bias
-        a -= a.max(1, keepdims=True)
-        score = a[np.arange(len(word)), kind].copy()
-        np.exp(a, out=a)
-        total = a.sum(1)
-        score -= np.log(total)
+        score, inverse = self._softmax(a, kind)
         if gradient:
-            a /= total[:, None]
+            a *= inverse[:, None]
             a[np.arange(len(word)), kind] -= 1
             back = a @ self.to_class.T
             g = [h.T @ a, a.sum(0), np.zeros_like(self.to_word), np.zeros_like(self.word_bias)]
+        own = word - kind.astype(np.int64) * self.per
         for c in range(self.classes):
-            rows = order[edges[c] : edges[c + 1]]
-            if len(rows):
-                x = h[rows]
+            lo, hi = edges[c], edges[c + 1]
+            if lo < hi:
+                x = h[lo:hi]
                 b = x @ self.to_word[c]
                 b += self.word_bias[c]
-                b -= b.max(1, keepdims=True)
-                own = word[rows] - c * self.per
-                picked = b[np.arange(len(rows)), own].copy()
-                np.exp(b, out=b)
-                total = b.sum(1)
-                score[rows] += picked - np.log(total)
+                more, inverse = self._softmax(b, own[lo:hi])
+                score[lo:hi] += more
                 if gradient:
-                    b /= total[:, None]
-                    b[np.arange(len(rows)), own] -= 1
-                    back[rows] += b @ self.to_word[c].T
+                    b *= inverse[:, None]
+                    b[np.arange(hi - lo), own[lo:hi]] -= 1
+                    back[lo:hi] += b @ self.to_word[c].T
                     g[2][c], g[3][c] = x.T @ b, b.sum(0)
-        return score, (back * (1 - h * h), g) if gradient else None
+        if not gradient:
+            return score, order, None
+        h *= h
+        np.subtract(1, h, out=h)
+        back *= h
+        return score, around, (back, g)
+
+    @staticmethod
+    def _softmax(a: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probabilities at the given columns, and the inverse of each row's sum; a becomes its exponential."""
+        np.clip(a, -LARGEST, LARGEST, out=a)
+        score = a[np.arange(len(a)), at]
+        np.exp(a, out=a)
+        total = a @ np.ones(a.shape[1], np.float32)
+        score -= np.log(total)
+        return score, 1 / total
 
     def score(self, around: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Log-probability of each word, given its neighbours (a row per place)."""
         out = np.zeros(len(word), np.float32)
         for k in range(0, len(word), BLOCK * 4):
-            out[k : k + BLOCK * 4] = self._forward(around[:, k : k + BLOCK * 4], word[k : k + BLOCK * 4], False)[0]
+            score, order, _ = self._forward(around[:, k : k + BLOCK * 4], word[k : k + BLOCK * 4], False)
+            out[k + order] = score
         return out
 
     def gradients(self, around: np.ndarray, word: np.ndarray, sparse: bool = False) -> list:
         """Of the summed negative log-probability; sparse: of the tables, for each place the rows looked up and theirs."""
-        _, (back, g) = self._forward(around, word, True)
+        _, around, (back, g) = self._forward(around, word, True)
+        small = np.uint16 if self.look.shape[1] <= 1 << 16 else np.int32  # sorts faster
         tables = []
         for k in range(len(PLACES)):
-            order = np.argsort(around[k], kind="stable")
+            order = np.argsort(around[k].astype(small), kind="stable")
             ids = around[k][order]
             first = np.flatnonzero(np.diff(ids, prepend=-1))
-            tables.append((ids[first], np.add.reduceat(back[order], first, axis=0)))
+            tables.append((ids[first], np.add.reduceat(back.take(order, axis=0), first, axis=0)))
         if sparse:
             return [tables, back.sum(0), *g]
         look = np.zeros_like(self.look)
@@ -227,7 +242,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(*whole(parts))
 
 
-def _trainer(vocabulary: Vocabulary, weights: np.ndarray, every: int):
+def _trainer(vocabulary: Vocabulary, weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(np.zeros(vocabulary.edge + 1)).load(weights)
         state = [np.zeros_like(x) for x in net.parts()]
@@ -254,11 +269,11 @@ def _average(rows: pa.Table) -> pa.Table:
     return pa.table([pa.array([rows.column("k")[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([n.sum()]), pa.array([mean.tobytes()], pa.binary())], names=["k", "g", "n", "v"])
 
 
-def fitted(documents: DataFrame, text: str = "text", every: int = EVERY, rounds: int = ROUNDS) -> tuple[Vocabulary, np.ndarray]:
-    return _fitted(documents, text, every, rounds)[:2]
+def fitted(documents: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[Vocabulary, np.ndarray]:
+    return _fitted(documents, text, rounds)[:2]
 
 
-def _fitted(documents: DataFrame, text: str, every: int, rounds: int) -> tuple[Vocabulary, np.ndarray, DataFrame, np.ndarray]:
+def _fitted(documents: DataFrame, text: str, rounds: int) -> tuple[Vocabulary, np.ndarray, DataFrame, np.ndarray]:
     """Vocabulary, weights, the count of every word (w, n), and that of every output."""
     texts = documents.select(F.col(text).cast("string").alias("t")).where("t is not null")
     counts = cut(texts.mapInArrow(_tally, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
@@ -274,11 +289,10 @@ def _fitted(documents: DataFrame, text: str, every: int, rounds: int) -> tuple[V
     for w, n in common:
         prior[vocabulary.common + (w % 2**64 >> 20) % vocabulary.buckets] -= n
     weights = Network(prior).flat()
-    share = texts.where(F.pmod(F.xxhash64("t"), F.lit(every)) == 0)
-    groups = max(1, math.isqrt(share.rdd.getNumPartitions()))
+    groups = max(1, math.isqrt(texts.rdd.getNumPartitions()))
     schema = "k int, g int, n double, v binary"
-    for _ in range(rounds):
-        trained = share.mapInArrow(_trainer(vocabulary, weights, every), schema)
+    for k in range(rounds):
+        trained = texts.where(F.pmod(F.xxhash64("t"), F.lit(rounds)) == k).mapInArrow(_trainer(vocabulary, weights), schema)
         half = trained.withColumn("g", F.pmod("g", F.lit(groups))).groupBy("k", "g").applyInArrow(_average, schema)
         new = half.groupBy("k").applyInArrow(_average, schema).collect()
         if new:
@@ -290,10 +304,10 @@ def _bucket(vocabulary: Vocabulary):
     return F.pmod(F.shiftrightunsigned("w", 20), F.lit(vocabulary.buckets))
 
 
-def scored(documents: DataFrame, id: str = "doc_id", text: str = "text", every: int = EVERY, rounds: int = ROUNDS, known: int = KNOWN) -> DataFrame:
+def scored(documents: DataFrame, id: str = "doc_id", text: str = "text", rounds: int = ROUNDS, known: int = KNOWN) -> DataFrame:
     """A row per document: id, words, summed log-probability, and its mean."""
     spark = documents.sparkSession
-    vocabulary, weights, counts, prior = _fitted(documents, text, every, rounds)
+    vocabulary, weights, counts, prior = _fitted(documents, text, rounds)
     rare = counts.join(F.broadcast(spark.createDataFrame([(int(w),) for w in vocabulary.sorted.view(np.int64)], "w long")), "w", "left_anti")
     top = rare.orderBy(F.desc("n"), "w").limit(known).toArrow()
     w, n = top.column("w").to_numpy().view(np.uint64), top.column("n").to_numpy()
@@ -310,16 +324,12 @@ def scored(documents: DataFrame, id: str = "doc_id", text: str = "text", every:
             data, offsets = utf8(b.column(1))
             count, total, others = [np.zeros(0, np.int64)], [np.zeros(0)], []
             for _, _, words in pieces(data, offsets):
-                c, t = document_scores(net, vocabulary, words)
+                c, t, missing = document_scores(net, vocabulary, words)
                 count.append(c)
                 total.append(t)
-                h = words.hash.view(np.int64)
-                missing = np.concatenate([[0], np.cumsum(vocabulary.within(words.hash, vocabulary.ids(words.hash))[1])])
-                if missing[-1]:
-                    at = h[np.diff(missing) > 0]
-                    others += [at[a:b] for a, b in zip(missing[words.lo], missing[words.hi], strict=True)]
-                else:
-                    others += [h[:0]] * len(c)
+                at = words.hash.view(np.int64)[missing]
+                edge = np.concatenate([[0], np.cumsum(missing)])
+                others += [at[a:b] for a, b in zip(edge[words.lo].tolist(), edge[words.hi].tolist(), strict=True)]
             c, t = np.concatenate(count), np.concatenate(total)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c), pa.array(t), pa.array(others, pa.list_(pa.int64()))], ["i", "c", "s", "o"])
 
@@ -333,9 +343,10 @@ def scored(documents: DataFrame, id: str = "doc_id", text: str = "text", every:
     return rows.select(F.col("i").alias(id), F.col("c").alias("words"), F.round("s", 4).alias("log_likelihood"), F.when(F.col("c") > 0, F.round(F.col("s") / F.col("c"), 6)).alias("mean"))
 
 
-def document_scores(net: Network, vocabulary: Vocabulary, words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Words and summed log-probability of each document; of words that the vocabulary hasn't, that of their buckets."""
+def document_scores(net: Network, vocabulary: Vocabulary, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words and summed log-probability of each document; of words that the vocabulary hasn't, which are told, that of their buckets."""
     ids = vocabulary.ids(words.hash)
-    every = net.score(neighbours(ids, words, vocabulary.edge), ids).astype(np.float64) + vocabulary.within(words.hash, ids)[0]
+    shares, missing = vocabulary.within(words.hash, ids)
+    every = net.score(neighbours(ids, words, vocabulary.edge), ids) + shares
     sums = np.concatenate([[0.0], np.cumsum(every)])
-    return (words.hi - words.lo).astype(np.int64), sums[words.hi] - sums[words.lo]
+    return (words.hi - words.lo).astype(np.int64), sums[words.hi] - sums[words.lo], missing

@@ -543,7 +543,7 @@ def test_scores_against_a_loop(corpus):
     texts = [rows[0][1], "", rows[1][1], "one"]
     data = "".join(t + "\n" for t in texts).encode()
     offsets = np.cumsum([0] + [len(t.encode()) + 1 for t in texts])
-    n, total = pseudo_likelihood.document_scores(net, vocabulary, common.Words(np.frombuffer(data, np.uint8), offsets))
+    n, total, _ = pseudo_likelihood.document_scores(net, vocabulary, common.Words(np.frombuffer(data, np.uint8), offsets))
     for text, size, score in zip(texts, n, total, strict=True):
         ids = vocabulary.ids(words_of(text).hash)
         want = 0.0
@@ -568,7 +568,7 @@ def test_training_helps_on_held_out_text(spark, corpus):
         return " ".join(cycle[(at + k) % 12] for k in range(n))
 
     train = frame(spark, [(i, text(400), "en", "a", 0) for i in range(120)])
-    vocabulary, weights = pseudo_likelihood.fitted(train, every=1)
+    vocabulary, weights = pseudo_likelihood.fitted(train)
     held = words_of(text(300))
     ids = vocabulary.ids(held.hash)
     net = pseudo_likelihood.Network(np.zeros(pseudo_likelihood.OUTPUTS)).load(weights)
@@ -601,14 +601,14 @@ def test_every_document_is_trained_on(spark, monkeypatch):
 
     monkeypatch.setattr(pseudo_likelihood, "_trainer", trainer)
     pseudo_likelihood.fitted(frame(spark, docs))
-    assert seen.value == pseudo_likelihood.ROUNDS * sum(len(tokens(t)) for _, t, *_ in docs)
+    assert seen.value == sum(len(tokens(t)) for _, t, *_ in docs)
 
 
 def test_words_in_buckets_have_their_own_probability(spark):
     r = random.Random(5)
     often = ["a" * (k % 50 + 1) + "b" * (k // 50) for k in range(600)] + ["c" * (k % 50 + 1) + "d" * (k // 50) for k in range(600)]
     docs = [(i, " ".join(r.choice(often) if r.random() < 0.9 else "r" + "s" * i + "t" * (k // 3) for k in range(60)), "en", "a", 0) for i in range(40)]
-    vocabulary, weights, counts, prior = pseudo_likelihood._fitted(frame(spark, docs), "text", 1, 1)
+    vocabulary, weights, counts, prior = pseudo_likelihood._fitted(frame(spark, docs), "text", 1)
     n = {x["w"]: x["n"] for x in counts.collect()}
     net = pseudo_likelihood.Network(np.zeros(len(prior))).load(weights)
     want = {}
@@ -619,7 +619,7 @@ def test_words_in_buckets_have_their_own_probability(spark):
         want[i] = net.score(pseudo_likelihood.neighbours(ids, words), ids).astype(float).sum() + sum(own)
         assert min(own) < -0.5
     for known in (1 << 20, 50):
-        got = pseudo_likelihood.scored(frame(spark, docs), every=1, rounds=1, known=known).collect()
+        got = pseudo_likelihood.scored(frame(spark, docs), rounds=1, known=known).collect()
         assert {x["doc_id"]: x["log_likelihood"] for x in got} == pytest.approx(want, abs=0.05)
         assert all(x["words"] == 60 and x["mean"] == pytest.approx(x["log_likelihood"] / 60, abs=1e-5) for x in got)
 
