@@ -8,8 +8,9 @@ leading "www." is no exception.
 Null, empty and hostless URLs are "invalid" and match nothing. Null and repeated ids are rows like any other, extra columns
 are ignored. Without entries every valid URL gets the default.
 
-The trie is broadcast while it has no more than BROADCAST entries. Beyond that, each URL's possible entries (one per label
-and segment) are looked up by a shuffled join, with the same result.
+The trie is broadcast while it has no more than BROADCAST entries. Beyond that, the same parser lists the places in the trie that a
+URL could reach, no deeper than the deepest entry, and a shuffled join looks them up, with the same result. URLs of any length and
+with any characters, line feeds included, are parsed alike: the scheme ends at the first "://", the host at the first slash after it.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST = 500_000
@@ -101,22 +102,27 @@ def filtered(pages: DataFrame, entries: list[tuple[str, str]] = ENTRIES, id: str
 
 
 def _joined(rows: DataFrame, entries: list[tuple[str, str]], default: str) -> DataFrame:
-    """The same by join, for tries too large to broadcast."""
-    known = rows.sparkSession.createDataFrame(_entries(entries), "key string, action string, deep int")
-    rest = F.regexp_extract(F.trim("u"), r"^[^:]+://([^?#]*)", 1)
-    host = F.lower(F.regexp_extract(F.element_at(F.split(F.regexp_extract(rest, "^([^/]*)", 1), "@"), -1), "^([^:]*)", 1))
-    parsed = rows.withColumn("labels", F.filter(F.split(host, r"\."), lambda x: x != "")).withColumn("segments", F.filter(F.split(F.regexp_extract(rest, "^[^/]*/?(.*)$", 1), "/"), lambda x: x != ""))
-    parsed = parsed.withColumn("labels", F.coalesce("labels", F.array().cast("array<string>"))).withColumn("segments", F.coalesce("segments", F.array().cast("array<string>")))
+    """The same by join, for tries too large to broadcast: each distinct URL's places in the trie meet the entries, and the deepest that exists decides."""
+    places = _entries(entries)
+    known = rows.sparkSession.createDataFrame(places, "key string, action string, deep int")
+    hosts = max((len(split("any://" + key)[0]) for key, _, _ in places), default=0)
+    paths = max((len(split("any://" + key)[1]) for key, _, _ in places), default=0)
 
-    def joined(part: Column, by: str) -> Column:
-        return F.array_join(part, by)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            valid, keys = [], []
+            for u in b.column(0).to_pylist():
+                labels, segments = split(u)
+                valid.append(bool(labels))
+                host = ".".join(labels[::-1])
+                keys.append([".".join(labels[:k][::-1]) for k in range(1, min(hosts, len(labels)) + 1)] + ["/".join([host, *segments[:k]]) for k in range(1, min(paths, len(segments)) + 1) if labels])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(valid, pa.bool_()), pa.array(keys, pa.list_(pa.string()))], ["v", "valid", "keys"])
 
-    n = F.size("labels")
-    hosts = F.transform(F.sequence(F.lit(1), n), lambda k: joined(F.slice("labels", n - k + 1, k), "."))
-    paths = F.when(F.size("segments") > 0, F.transform(F.sequence(F.lit(1), F.size("segments")), lambda k: F.concat(joined(F.col("labels"), "."), F.lit("/"), joined(F.slice("segments", 1, k), "/")))).otherwise(F.array().cast("array<string>"))
-    keys = parsed.where(n > 0).select("u", "labels", "segments").distinct().select(F.col("u").alias("v"), F.explode(F.concat(hosts, paths)).alias("key"))
-    best = keys.join(known, "key").withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("deep")))).where("r = 1").select("v", "action", "key", "deep")
-    return parsed.join(best, F.col("u") == F.col("v"), "left").select("i", "u", F.when(n == 0, "invalid").otherwise(F.coalesce("action", F.lit(default))).alias("verdict"), F.col("key").alias("entry"), F.coalesce("deep", F.lit(0)).alias("depth"))
+    urls = rows.select(F.col("u").alias("v")).where("v is not null").distinct().mapInArrow(run, "v string, valid boolean, keys array<string>")
+    best = urls.select("v", F.explode("keys").alias("key")).join(known, "key").groupBy("v").agg(F.max_by(F.struct("action", "key", "deep"), "deep").alias("best"))
+    decided = urls.where("valid").select(F.col("v").alias("w")).join(best, F.col("w") == F.col("v"), "left").select("w", "best")
+    verdict = F.when(F.col("w").isNull(), "invalid").otherwise(F.coalesce("best.action", F.lit(default)))
+    return rows.join(decided, F.col("u") == F.col("w"), "left").select("i", "u", verdict.alias("verdict"), F.col("best.key").alias("entry"), F.coalesce("best.deep", F.lit(0)).alias("depth"))
 
 
 def _entries(entries: list[tuple[str, str]]) -> list[tuple[str, str, int]]:
@@ -137,14 +143,15 @@ def oracle_sql(entries: list[tuple[str, str]] = ENTRIES, default: str = "allow")
     values = ", ".join(f"('{k}', '{a}', {d})" for k, a, d in sorted(_entries(entries)))
     return f"""
 WITH known(key, action, deep) AS (VALUES {values}),
-rest AS (SELECT page_id, url, regexp_extract(trim(url), '^[^:]+://([^?#]*)', 1) AS r FROM pages),
-part AS (SELECT *, list_filter(string_split(lower(regexp_extract(string_split(regexp_extract(r, '^([^/]*)', 1), '@')[-1], '^([^:]*)', 1)), '.'), lambda x: x <> '') AS labels,
-  list_filter(string_split(regexp_extract(r, '^[^/]*/?(.*)$', 1), '/'), lambda x: x <> '') AS segments FROM rest),
+trimmed AS (SELECT page_id, url, regexp_replace(url, '^\\s+|\\s+$', '', 'g') AS t FROM pages),
+rest AS (SELECT page_id, url, CASE WHEN strpos(t, '://') > 1 THEN regexp_extract(substr(t, strpos(t, '://') + 3), '^[^?#]*') END AS r FROM trimmed),
+part AS (SELECT *, list_filter(string_split(lower(regexp_extract(string_split(regexp_extract(r, '^[^/]*'), '@')[-1], '^[^:]*')), '.'), lambda x: x <> '') AS labels,
+  list_filter(string_split(CASE WHEN strpos(r, '/') > 0 THEN substr(r, strpos(r, '/') + 1) ELSE '' END, '/'), lambda x: x <> '') AS segments FROM rest),
 keys AS (SELECT page_id, url, labels,
   list_concat(list_transform(range(1, len(labels) + 1), lambda k: array_to_string(labels[len(labels) - k + 1:], '.')),
     list_transform(range(1, len(segments) + 1), lambda k: array_to_string(labels, '.') || '/' || array_to_string(segments[1:k], '/'))) AS key FROM part),
-found AS (SELECT page_id, k.key, k.action, k.deep, row_number() OVER (PARTITION BY page_id ORDER BY k.deep DESC) AS n
-  FROM (SELECT page_id, unnest(key) AS key FROM keys WHERE len(labels) > 0) u JOIN known k ON u.key = k.key)
-SELECT p.page_id, p.url, CASE WHEN p.url IS NULL OR len(p.labels) = 0 THEN 'invalid' ELSE coalesce(f.action, '{default}') END AS verdict,
+found AS (SELECT url, k.key, k.action, k.deep, row_number() OVER (PARTITION BY url ORDER BY k.deep DESC) AS n
+  FROM (SELECT DISTINCT url, unnest(key) AS key FROM keys WHERE len(labels) > 0) u JOIN known k ON u.key = k.key)
+SELECT p.page_id, p.url, CASE WHEN coalesce(len(p.labels), 0) = 0 THEN 'invalid' ELSE coalesce(f.action, '{default}') END AS verdict,
   f.key AS entry, CAST(coalesce(f.deep, 0) AS INTEGER) AS depth
-FROM keys p LEFT JOIN found f ON f.page_id = p.page_id AND f.n = 1"""
+FROM keys p LEFT JOIN found f ON f.url = p.url AND f.n = 1"""

@@ -1,5 +1,7 @@
 """Every operator and stage on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ def operators(spark):
         "repeats": lambda d: substring_dedup.repeats(d),
         "quality": lambda d: quality_rules.decided(quality_rules.ledger(d)),
         "ablations": lambda d: quality_rules.ablations(quality_rules.ledger(d)),
-        "likelihood": lambda d: pseudo_likelihood.scored(d, every=1, rounds=1),
+        "likelihood": lambda d: pseudo_likelihood.scored(d, rounds=1),
         "mixing": lambda d: source_mixing.mixed(d),
         "tokens": lambda d: token_counts.counted(d),
     }
@@ -104,11 +106,19 @@ def test_urls(spark):
     rules = [("block", "a.b"), ("allow", "a.b/c"), ("block", "a.b/c"), ("block", "x.a.b")]
     d = spark.createDataFrame(odd, "page_id long, url string")
     want = {1: "invalid", 2: "invalid", 3: "invalid", 4: "invalid", None: "allow", 5: "allow", 6: "allow", 7: "block", 8: "block"}
-    short = d.where(F.length("url") < 1000)
-    for limit, rows_ in ((100, d), (0, short.unionByName(d.where("url is null")))):
-        got = url_filter.filtered(rows_, rules, broadcast=limit).collect()
-        assert {r["page_id"]: r["verdict"] for r in got} == {k: v for k, v in want.items() if limit or k != 8}
-        assert len(got) == (10 if limit else 9)
+    more = ["a:b://a.b/c", "http://a.b/c/x\ny", " http://a.b/c\t", "http://a.b\n/c", "://a.b/c", "http://é.ü/c", "x://u@v@x.a.b:1:2/c//", "http://a.b?/c", "http://a.b/c\u2028d"]
+    d = d.unionByName(spark.createDataFrame([(100 + k, u) for k, u in enumerate(more)], "page_id long, url string"))
+    crowded = d.withColumns({c: F.lit(c) for c in ("i", "u", "v", "w", "key", "keys", "valid", "verdict", "entry", "depth", "action", "deep", "best")})
+    trie = sorted((tuple(r) for r in url_filter.filtered(d, rules).collect()), key=str)
+    assert dict((r[0], r[2]) for r in trie) == want | {100: "allow", 101: "allow", 102: "allow", 103: "allow", 104: "invalid", 105: "allow", 106: "block", 107: "block", 108: "block"}
+    for table in (d, crowded):
+        for limit in (100, 0):
+            got = url_filter.filtered(table, rules, broadcast=limit)
+            assert got.columns == ["page_id", "url", "verdict", "entry", "depth"]
+            assert sorted((tuple(r) for r in got.collect()), key=str) == trie
+    con = duckdb.connect()
+    con.register("pages", pa.table({"page_id": [r[0] for r in trie], "url": [r[1] for r in trie]}))
+    assert sorted(con.execute(url_filter.oracle_sql(rules)).fetchall(), key=str) == trie
     assert {r["verdict"] for r in url_filter.filtered(d, []).collect()} == {"allow", "invalid"}
     assert url_filter.filtered(d.limit(0), rules).count() == 0
 
