@@ -89,6 +89,12 @@ def test_tokens(spark, odd):
     assert n[1] == n[2] == 0 and n[4] == 10 and n[5] > 0
 
 
+def test_a_million_spaces(spark):
+    d = spark.createDataFrame([(1, "x" + " " * 1_000_000 + "y", "en", "a", 0)], SCHEMA)
+    (row,) = token_counts.counted(d).collect()
+    assert row["tokens"] > 10 and row["end"] == 1_000_002
+
+
 def test_mixing_without_tokens(spark):
     d = spark.createDataFrame([(1, None, "en", "a", 0), (2, "", None, None, 0)], SCHEMA)
     assert [(r["rate"], r["copies"]) for r in source_mixing.mixed(d).collect()] == [(1.0, 1), (1.0, 1)]

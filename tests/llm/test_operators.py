@@ -702,3 +702,25 @@ def test_token_counts(spark, corpus, rule):
     for x in got:
         sums[x["doc_id"]] += x["tokens"]
     assert sums == {i: len(encoding.encode_ordinary(t)) for i, t in docs}
+
+
+def test_long_runs_of_white_space():
+    encoding, _ = token_counts.encoder()
+    r = random.Random(3)
+    texts = ["".join(r.choice([" ", "\n", "\t", "a", "é", "1", "\u2003", "'s", "\x1c", "!"]) * r.choice([1, 1, 2, 9]) for _ in range(40)) for _ in range(200)] + ["", " " * 9, "a" + " " * 9, " " * 9 + "a"]
+    for long in (2, 3, 8):
+        assert token_counts.encoded(encoding, texts, long) == [encoding.encode_ordinary(t) for t in texts]
+    middle = 5_000_000
+    (got,) = token_counts.encoded(encoding, ["x" + " " * middle + "y"])
+    assert encoding.decode(got) == "x" + " " * middle + "y"
+
+
+def test_token_counts_of_fields(spark):
+    d = spark.createDataFrame([(1, "Title here", "body text.\nmore"), (2, None, ""), (None, "é", None)], "doc_id long, title string, body string")
+    encoding, _ = token_counts.encoder()
+    got = {(x["doc_id"], x["section"]): (x["start"], x["end"], x["tokens"]) for x in token_counts.counted(d, fields=["title", "body"]).collect()}
+    for i, title, body in ((1, "Title here", "body text.\nmore"), (2, "", ""), (None, "é", "")):
+        a, b = len(title.encode()) + 1, len(body.encode()) + 1
+        assert got[i, 0][:2] == (0, a) and got[i, 1][:2] == (a, a + b)
+        assert got[i, 0][2] + got[i, 1][2] == len(encoding.encode_ordinary(f"{title}\n{body}\n"))
+    assert got[1, 0][2] == len(encoding.encode_ordinary("Title here\n"))
