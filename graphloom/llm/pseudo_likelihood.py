@@ -8,7 +8,7 @@ Outputs are the commonest words of the whole corpus, hash buckets that share the
 document's edge (a neighbour only). Their number grows with the fourth root of the corpus' words (`width`): a partition sends its whole
 network to be averaged, which has to stay small beside the text that it reads. A word in a bucket has the bucket's probability times its
 own share of the bucket's count, so every word of the corpus has its own probability. Word counts come from all documents; scoring has
-those of the KNOWN commonest words at hand and joins the documents' other words with the rest.
+those of the commonest words at hand, as many count classes as KNOWN words allow, and joins the documents' other words with the rest.
 
 Training is distributed. Every document is trained on once, in one of ROUNDS rounds by a hash of its text; in each, every partition starts from
 the same weights, runs Adagrad over its own documents of that round, and the weights are averaged by words trained on, in two
@@ -21,6 +21,7 @@ partitioned, in the last digits of the scores.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -309,7 +310,10 @@ def scored(documents: DataFrame, id: str = "doc_id", text: str = "text", rounds:
     spark = documents.sparkSession
     vocabulary, weights, counts, prior = _fitted(documents, text, rounds)
     rare = counts.join(F.broadcast(spark.createDataFrame([(int(w),) for w in vocabulary.sorted.view(np.int64)], "w long")), "w", "left_anti")
-    top = rare.orderBy(F.desc("n"), "w").limit(known).toArrow()
+    # whole classes of counts, from the highest down: no sort, and no task that all of them meet in
+    classes = rare.groupBy(F.floor(F.log2("n") * 16).alias("c")).count().orderBy(F.desc("c")).collect()
+    fit = sum(x <= known for x in itertools.accumulate(x["count"] for x in classes))
+    top = rare.where(F.floor(F.log2("n") * 16) >= classes[fit - 1]["c"] if fit else F.lit(False)).toArrow()
     w, n = top.column("w").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(w)
     w, n = w[order], n[order]
@@ -334,7 +338,7 @@ def scored(documents: DataFrame, id: str = "doc_id", text: str = "text", rounds:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c), pa.array(t), pa.array(others, pa.list_(pa.int64()))], ["i", "c", "s", "o"])
 
     rows = documents.select(F.col(id).alias("i"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"i {kind}, c long, s double, o array<long>")
-    if len(w) == known:
+    if fit < len(classes):
         rows = cut(rows.withColumn("r", F.monotonically_increasing_id()))
         filled = spark.createDataFrame([(k, float(x)) for k, x in enumerate(prior[vocabulary.common : vocabulary.edge])], "b long, all double")
         share = rare.join(F.broadcast(filled), _bucket(vocabulary) == F.col("b")).select("w", F.log(F.col("n") / F.col("all")).alias("x"))
