@@ -2,9 +2,10 @@
 
 Among all rates that meet the constraints (tokens of each source, and of each language, as shares of the whole), the ones
 nearest to uniform in relative entropy are r = exp(l[source] + m[language]). The multipliers minimise the convex dual
-sum(tokens * exp(l + m)) - sum(target * multiplier); Newton's method with backtracking finds them. Each iteration is one
-distributed aggregation (tokens at the present rates, by source and language) of which the driver sees a row per pair that
-occurs, and solves a system of as many unknowns as there are sources and languages. Rates are then scaled so that the smallest
+sum(tokens * exp(l + m)) - sum(target * multiplier); Newton's method with backtracking finds them. Tokens are summed over all documents
+once, by source and language; dual, gradient and Hessian depend on these sums alone. Each iteration is a distributed aggregation of
+that table (tokens at the present rates) of which the driver sees a row per pair that occurs, and solves a system of as many
+unknowns as there are sources and languages; it is dense, so sources should number thousands, not millions. Rates are then scaled so that the smallest
 is `least`, and rounded into copies: the whole part, and one more where a hash of the document falls below the fraction.
 
 Targets default to the present shares to the power `temper`, for sources and languages alike. A source or language without
@@ -43,13 +44,18 @@ def targets(tokens: dict, temper: float = TEMPER) -> dict:
     return {k: p / sum(power.values()) for k, p in power.items()}
 
 
-def multipliers(rows: DataFrame, by_source: dict | None = None, by_lang: dict | None = None, temper: float = TEMPER) -> tuple[dict, dict]:
-    """Logarithms of the rates by source and by language, for rows (s, l, n); total tokens stay as they are.
+def summed(rows: DataFrame) -> DataFrame:
+    """(s, l, n): the tokens of each source and language that has any."""
+    return cut(rows.groupBy("s", "l").agg(F.sum("n").cast("double").alias("n")).where("n > 0"))
+
+
+def multipliers(pairs: DataFrame, by_source: dict | None = None, by_lang: dict | None = None, temper: float = TEMPER) -> tuple[dict, dict]:
+    """Logarithms of the rates by source and by language, for summed tokens (s, l, n); their total stays as it is.
 
     Raises ValueError if the targets can't be met together: not within TOLERANCE after MOST_STEPS.
     """
-    spark = rows.sparkSession
-    now = rows.groupBy("s", "l").agg(F.sum("n").cast("double").alias("n")).where("n > 0").collect()
+    spark = pairs.sparkSession
+    now = pairs.collect()
     if not now:
         return {}, {}
     total = sum(x["n"] for x in now)
@@ -66,7 +72,7 @@ def multipliers(rows: DataFrame, by_source: dict | None = None, by_lang: dict |
 
     def state(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """Dual, gradient and Hessian at x, from tokens summed at its rates."""
-        frame = rows
+        frame = pairs
         for side, column in ((0, "s"), (1, "l")):
             own = [(k, float(x[j])) for (a, k), j in place.items() if a == side]
             table = spark.createDataFrame(own, f"_k{side} string, _x{side} double")
@@ -101,8 +107,9 @@ def multipliers(rows: DataFrame, by_source: dict | None = None, by_lang: dict |
 
 def _pairs(rows: DataFrame, by_source: dict | None, by_lang: dict | None, temper: float, least: float) -> DataFrame:
     """Source, language and rate of each pair that has tokens; broadcast unless there are too many."""
-    of_source, of_lang = multipliers(rows, by_source, by_lang, temper)
-    pairs = [(x["s"], x["l"], of_source.get(x["s"], 0.0) + of_lang.get(x["l"], 0.0)) for x in rows.where("n > 0").select("s", "l").distinct().collect()]
+    sums = summed(rows)
+    of_source, of_lang = multipliers(sums, by_source, by_lang, temper)
+    pairs = [(x["s"], x["l"], of_source.get(x["s"], 0.0) + of_lang.get(x["l"], 0.0)) for x in sums.collect()]
     lowest = min((x for _, _, x in pairs), default=0.0)
     table = rows.sparkSession.createDataFrame([(s, m, float(np.exp(x - lowest) * least)) for s, m, x in pairs], "__graphloom_s string, __graphloom_l string, __graphloom_rate double")
     return F.broadcast(table) if len(pairs) < BROADCAST else table
@@ -124,7 +131,7 @@ def mixed(documents: DataFrame, id: str = "doc_id", text: str = "text", source:
 
 def weighted(documents: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", by_source: dict | None = None, by_lang: dict | None = None, temper: float = TEMPER, least: float = LEAST) -> DataFrame:
     """The documents that get a copy, with their own columns, and mix_rate and mix_copies (which replace columns of those names)."""
-    pairs = _pairs(cut(weighed(documents, id, text, source, lang)), by_source, by_lang, temper, least)
+    pairs = _pairs(weighed(documents, id, text, source, lang), by_source, by_lang, temper, least)
     rate = F.round(F.coalesce("__graphloom_rate", F.lit(float(least))), 9)
     rated = documents.join(pairs, F.col(source).cast("string").eqNullSafe(F.col("__graphloom_s")) & F.col(lang).cast("string").eqNullSafe(F.col("__graphloom_l")), "left")
     key = F.xxhash64(id, text)
