@@ -193,9 +193,21 @@ def test_languages_of_held_out_documents(spark, corpus):
 
 def test_other_languages_are_rejected(spark, corpus):
     rows, _ = corpus
-    d = frame(spark, rows + [(900, "привет мир это текст на другом языке", "en", "a", 1), (901, "zxqj vkwq pfgx qqxz wvkj jjkq xzzv", "en", "a", 1)])
+    finnish = "Nopea ruskea kettu hyppää laiskan koiran yli samalla kun aurinko laskee kukkuloiden taakse ja linnut laulavat metsässä"
+    d = frame(spark, rows + [(900, "привет мир это текст на другом языке", None, "a", 1), (901, "zxqj vkwq pfgx qqxz wvkj jjkq xzzv", None, "a", 1), (902, finnish, None, "a", 1)])
     kept = {x["doc_id"] for x in language_id.accepted(d).collect()}
-    assert kept >= {r[0] for r in rows} and 900 not in kept
+    assert kept == {r[0] for r in rows}
+
+
+def test_limits_follow_held_out_text(spark, corpus):
+    rows, _ = corpus
+    reference, held = language_id.sampled(frame(spark, rows), symbols=2000)
+    assert all(set(held[k]).isdisjoint(v) for k, v in reference.items())
+    usual = language_id.usual_bits(reference, held)
+    assert set(usual) == set(reference)
+    assert all(x < y for x, y in usual.values())
+    most = language_id.limits(np.array([(2.0, 8.0), (2.0, 8.0), (np.nan, np.nan), (7.0, 9.0)]), np.array([10**8, 100, 100, 100]))
+    assert most.tolist() == pytest.approx([6.8, 7.5, language_id.MOST_BITS, language_id.MOST_BITS], abs=0.01)
 
 
 # 4

@@ -13,7 +13,7 @@ import corpus_pipeline
 from graphloom.llm import common, decontaminate, language_id, simhash_forest, source_mixing
 
 
-def known(rows, reference):
+def known(rows, reference, usual):
     """Phrases by trying every length against the references' texts."""
     parser = language_id.CrossParser(reference)
 
@@ -27,7 +27,7 @@ def known(rows, reference):
         s = symbols(row[1] or "")
         if not s.strip(b"\0"):
             continue
-        best = math.inf
+        best, limit = math.inf, 0
         for k, parts in refs.items():
             count, weight = 0, math.log2(sum(map(len, parts)))
             for lo in range(0, len(s), language_id.SEGMENT):
@@ -37,8 +37,9 @@ def known(rows, reference):
                     while at + n < len(piece) and any(piece[at : at + n + 1] in r for r in parts):
                         n += 1
                     at, count = at + max(1, n), count + 1
-            best = min(best, count * weight / len(s))
-        if best <= language_id.MOST_BITS:
+            if (bits := count * weight / len(s)) < best:
+                best, limit = bits, min(language_id.MOST_BITS, usual[k][0] + language_id.SHARE * (1 + language_id.LOOSE / math.sqrt(len(s))) * (usual[k][1] - usual[k][0]))
+        if best <= limit:
             out.append(row)
     return out
 
@@ -129,12 +130,15 @@ def test_run(spark, corpus, tmp_path):
         if i in (10, 20, 30):
             text = passage + ".\n" + text
         rows.append((i, text, lang.get(i, "en"), source.get(i, "s1"), len(text)))
-    rows += [(5000, passage, "en", "s0", len(passage)), (5001, "", "en", "s0", 0), (5002, None, "en", "s0", None), (5003, "你好世界这是中文", "en", "s0", 8)]
+    rows += [(5000, passage, "en", "s0", len(passage)), (5001, "", "en", "s0", 0), (5002, None, "en", "s0", None), (5003, "你好世界这是中文", "en", "s0", 8), (5004, "nopea ruskea kettu hyppää laiskan koiran yli " * 9, None, "s0", 396)]
     d = spark.createDataFrame(rows, SCHEMA)
     d.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    reference = language_id.sample(spark.read.parquet(f"{tmp_path}/documents.parquet"))
-    want = unleaked(unrepeated(one_each(known(rows, reference))), items)
+    reference, held = language_id.sampled(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    usual = language_id.usual_bits(reference, held)
+    accepted = known(rows, reference, usual)
+    assert set(usual) == {"en", "de", "fr", "es"} and {r[0] for r in rows} - {r[0] for r in accepted} == {5001, 5002, 5003, 5004}
+    want = unleaked(unrepeated(one_each(accepted)), items)
     assert 150 < len(want) < len(rows) - 12
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(tuple(x)[:5] for x in got) == sorted(want)
