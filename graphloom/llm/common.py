@@ -186,10 +186,10 @@ def listed(column: pa.Array, names: tuple[str, ...]) -> tuple[np.ndarray, list[n
     return np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())]), [values.field(x).to_numpy(zero_copy_only=False) for x in names]
 
 
-def merged(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs a..b of each row, joined where they touch or overlap: (row, a, b) by row and place."""
+def merged(row: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Runs a..b of each row, joined where they touch or overlap: (row, a, b) by row and place; and the largest of their values, if there are any."""
     if not len(row):
-        return row, a, b
+        return (row, a, b) if most is None else (row, a, b, most)
     order = np.lexsort((a, row))
     row, a, b = (x[order].astype(np.int64) for x in (row, a, b))
     wide = int(b.max()) + 1
@@ -197,7 +197,8 @@ def merged(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
     new = np.ones(len(row), bool)
     new[1:] = from_[1:] > to[:-1]
     at = np.flatnonzero(new)
-    return row[at], a[at], to[np.append(at[1:], len(row)) - 1] - row[at] * wide
+    out = row[at], a[at], to[np.append(at[1:], len(row)) - 1] - row[at] * wide
+    return out if most is None else (*out, np.maximum.reduceat(most[order], at))
 
 
 def replaced(b: pa.RecordBatch, text: str, chars: str, new: dict[int, str]) -> pa.RecordBatch:

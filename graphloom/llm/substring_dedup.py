@@ -2,15 +2,17 @@
 
 A window's minimiser is the SEED-word sequence in it with the smallest hash, the leftmost among equals. Consecutive windows
 with the same minimiser (at the same place) are a super-k-mer. Equal windows have equal minimisers, and no window occurs
-twice in one super-k-mer; so a minimiser that heads one super-k-mer only has no repeats and travels no further. The others
+twice in one super-k-mer; so a minimiser that heads one super-k-mer only has no repeats and travels no further: a first pass counts
+minimisers, with a partial sum in every task. The others
 travel as one packed string of WINDOW - 1 + n words each to the bucket of their minimiser, where sorting all windows
 brings equal ones together: fingerprints are sorted and equal neighbours compared word for word, so counts are exact.
-Windows of a minimiser with more than HOT super-k-mers travel one by one, to buckets by their content, lest one bucket gets
-them all.
+Windows of a minimiser with more than HOT super-k-mers travel one by one as strings, to be counted by a grouping that sums equal ones up before they
+travel; no task holds all windows of a hot minimiser. Both ways give the same counts.
 
 The first occurrence, by id, hash of the text and place, stays; in all others the window's words are removed. Case
 and punctuation don't count. Null, empty and short texts have no windows. Null ids come last and are compared like any
-other; rows that repeat both id and text are one document. Extra columns are ignored, and kept by `cleaned`.
+other; rows that repeat both id and text are one document. A text of more than 2^28 words raises ValueError. An empty table has no
+repeats. Extra columns are ignored, and kept by `cleaned`.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import WORD, Words, content_key, cut, fold, join, listed, merged, mix, pieces, utf8, without_runs
@@ -66,6 +68,19 @@ def super_kmers(words: Words, window: int = WINDOW, seed: int = SEED) -> tuple[n
     return doc, first - words.lo[doc], np.diff(np.append(at, len(inside))), gram[place[at]].view(np.int64)
 
 
+def _tally(window: int, seed: int):
+    """Minimisers and how many super-k-mers of a piece they head."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = utf8(b.column(0))
+            for _, _, words in pieces(data, offsets):
+                m, n = np.unique(super_kmers(words, window, seed)[3], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(n)], ["m", "c"])
+
+    return run
+
+
 def _minimise(window: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -78,37 +93,53 @@ def _minimise(window: int, seed: int):
     return run
 
 
-def _pack(buckets: int, window: int, hot: int):
+def _packed(b: pa.RecordBatch) -> Iterator[tuple]:
+    """Of each super-k-mer that the last column lists: row, minimiser, first word, windows; and where its piece's words begin and end in the piece's normalised bytes."""
+    data, offsets = utf8(b.column(2))
+    edges, fields = listed(b.column(3), ("m", "s", "n"))
+    for lo, hi, words in pieces(data, offsets):
+        low = fold(words.data)
+        inside = WORD[low]
+        keep = inside.copy()
+        keep[1:] |= inside[:-1]
+        keep[words.end[words.end < len(keep)]] = True
+        at = np.concatenate([[0], np.cumsum(keep)])
+        packed = np.where(inside, low, 32)[keep].astype(np.uint8).tobytes()
+        begin, end = at[words.start].tolist(), at[words.end].tolist()
+        for d in range(lo, hi):
+            base = int(words.lo[d - lo])
+            for m, s, n in zip(*[x[edges[d] : edges[d + 1]].tolist() for x in fields], strict=True):
+                yield d, m, s, n, base, packed, begin, end
+
+
+def _pack(buckets: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offsets = utf8(b.column(2))
-            edges, fields = listed(b.column(3), ("m", "s", "n", "c"))
-            for lo, hi, words in pieces(data, offsets):
-                low = fold(words.data)
-                inside = WORD[low]
-                keep = inside.copy()
-                keep[1:] |= inside[:-1]
-                keep[words.end[words.end < len(keep)]] = True
-                at = np.concatenate([[0], np.cumsum(keep)])
-                packed = np.where(inside, low, 32)[keep].astype(np.uint8).tobytes()
-                begin, end = at[words.start].tolist(), at[words.end].tolist()
-                rows, bucket, first, count, text = [], [], [], [], []
-                for d in range(lo, hi):
-                    base = int(words.lo[d - lo])
-                    for m, s, n, c in zip(*[x[edges[d] : edges[d + 1]].tolist() for x in fields], strict=True):
-                        if c <= hot:
-                            parts = [(m, s, n)]
-                        else:
-                            own = mix(join(words.hash[base + s : base + s + n + window - 1], window)).view(np.int64).tolist()
-                            parts = [(own[k], s + k, 1) for k in range(n)]
-                        for key, s, n in parts:
-                            rows.append(d)
-                            bucket.append(key % buckets)
-                            first.append(s)
-                            count.append(n)
-                            text.append(packed[begin[base + s] : end[base + s + n + window - 2]])
-                rows = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), b.column(0).take(rows), b.column(1).take(rows), pa.array(first, pa.int32()), pa.array(count, pa.int32()), pa.array(text, pa.binary())], ["k", "i", "h", "s", "n", "t"])
+            rows, bucket, first, count, text = [], [], [], [], []
+            for d, m, s, n, base, packed, begin, end in _packed(b):
+                rows.append(d)
+                bucket.append(m % buckets)
+                first.append(s)
+                count.append(n)
+                text.append(packed[begin[base + s] : end[base + s + n + window - 2]])
+            rows = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), b.column(0).take(rows), b.column(1).take(rows), pa.array(first, pa.int32()), pa.array(count, pa.int32()), pa.array(text, pa.binary())], ["k", "i", "h", "s", "n", "t"])
+
+    return run
+
+
+def _unpack(window: int):
+    """As _pack, each window by itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, first, text = [], [], []
+            for d, _, s, n, base, packed, begin, end in _packed(b):
+                rows += [d] * n
+                first += range(s, s + n)
+                text += [packed[begin[k] : end[k + window - 1]] for k in range(base + s, base + s + n)]
+            rows = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(first, pa.int32()), pa.array(text, pa.binary())], ["i", "h", "s", "t"])
 
     return run
 
@@ -144,22 +175,25 @@ def _count(window: int, kind: pa.DataType):
                 return _by_text(bucket, raw, start, end, owner, at - lo[owner], window)
         later = np.zeros(len(order), bool)
         later[order[same]] = True
-        again = later.copy()
-        again[a] = True
-        return _runs(bucket, owner, at - lo[owner], again, later, window)
+        group = np.cumsum(~same) - 1
+        times = np.zeros(len(order), np.int64)
+        times[order] = np.bincount(group)[group] if len(group) else group
+        return _runs(bucket, owner, at - lo[owner], times, later, window)
 
     def _by_text(bucket, raw, start, end, owner, offset, window):
-        first: dict[bytes, int] = {}
-        again, later = np.zeros(len(owner), bool), np.zeros(len(owner), bool)
+        seen: dict[bytes, list[int]] = {}
         for k, (x, y) in enumerate(zip(start.tolist(), end.tolist(), strict=True)):
-            if (f := first.setdefault(raw[x:y], k)) != k:
-                again[f] = again[k] = later[k] = True
-        return _runs(bucket, owner, offset, again, later, window)
+            seen.setdefault(raw[x:y], []).append(k)
+        times, later = np.zeros(len(owner), np.int64), np.zeros(len(owner), bool)
+        for own in seen.values():
+            times[own] = len(own)
+            later[own[1:]] = True
+        return _runs(bucket, owner, offset, times, later, window)
 
-    def _runs(bucket, owner, offset, again, later, window):
-        rows, kinds, begin, end = [], [], [], []
+    def _runs(bucket, owner, offset, times, later, window):
+        rows, kinds, begin, end, copies = [], [], [], [], []
         s = bucket.column("s").to_numpy()
-        for kind_, flag in ((False, again), (True, later)):
+        for kind_, flag in ((False, times > 1), (True, later)):
             on = np.flatnonzero(flag)
             new = np.ones(len(on), bool)
             new[1:] = (on[1:] != on[:-1] + 1) | (owner[on[1:]] != owner[on[:-1]])
@@ -168,53 +202,69 @@ def _count(window: int, kind: pa.DataType):
             rows.append(owner[on[new]])
             begin.append(s[owner[on[new]]] + offset[on[new]])
             end.append(s[owner[on[last]]] + offset[on[last]] + window)
+            copies.append(np.maximum.reduceat(times[on], np.flatnonzero(new)) if len(on) else on)
             kinds.append(np.full(int(new.sum()), kind_))
         rows = pa.array(np.concatenate(rows))
         return pa.table(
-            [bucket.column("i").combine_chunks().take(rows).cast(kind), bucket.column("h").combine_chunks().take(rows), pa.array(np.concatenate(kinds)), pa.array(np.concatenate(begin).astype(np.int32)), pa.array(np.concatenate(end).astype(np.int32))],
-            names=["i", "h", "later", "a", "b"],
+            [bucket.column("i").combine_chunks().take(rows).cast(kind), bucket.column("h").combine_chunks().take(rows), pa.array(np.concatenate(kinds)), pa.array(np.concatenate(begin).astype(np.int32)), pa.array(np.concatenate(end).astype(np.int32)), pa.array(np.concatenate(copies).astype(np.int64))],
+            names=["i", "h", "later", "a", "b", "c"],
         )
 
     return run
 
 
 def _spans(documents: DataFrame, id: str, text: str, window: int, seed: int, hot: int, bucket: int) -> DataFrame:
-    """(i, h, r): per document with repeated windows, runs of words (a, b) and whether they are removed (later)."""
+    """(i, h, r): per document with repeated windows, runs of words (a, b), the most occurrences of a window in them (c) and whether they are removed (later)."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = documents.schema[id].dataType
     name = kind.simpleString()
     rows = documents.select(F.col(id).alias("i"), content_key(text).alias("h"), F.col(text).cast("string").alias("t"))
-    found = rows.mapInArrow(_minimise(window, seed), f"i {name}, h long, m long, s int, n int")
-    shared = found.withColumn("c", F.count("*").over(Window.partitionBy("m"))).where("c > 1")
-    wanted = cut(shared.groupBy("i", "h").agg(F.collect_set(F.struct("m", "s", "n", "c")).alias("l")))
-    windows = wanted.select(F.sum(F.aggregate("l", F.lit(0).cast("long"), lambda x, y: x + y["n"])).alias("n")).first()["n"] or 0
-    buckets = -(-windows // bucket) or 1
-    own = wanted.select(F.col("i").alias("j"), F.col("h").alias("g"), "l")
-    texts = rows.join(own, rows["i"].eqNullSafe(own["j"]) & (rows["h"] == own["g"])).select("i", "h", "t", "l")
-    packed = texts.mapInArrow(_pack(buckets, window, hot), f"k long, i {name}, h long, s int, n int, t binary")
-    counted = packed.groupBy("k").applyInArrow(_count(window, to_arrow_type(kind)), f"i {name}, h long, later boolean, a int, b int")
-    return counted.groupBy("i", "h").agg(F.collect_list(F.struct("later", "a", "b")).alias("r"))
+    shared = rows.select("t").mapInArrow(_tally(window, seed), "m long, c long").groupBy("m").agg(F.sum("c").alias("c")).where("c > 1")
+    found = rows.mapInArrow(_minimise(window, seed), f"i {name}, h long, m long, s int, n int").join(shared, "m")
+    wanted = cut(found.groupBy("i", "h").agg(F.collect_set(F.struct("m", "s", "n", "c")).alias("l")))
+
+    def total(most: str):
+        return F.sum(F.expr(f"aggregate(filter(l, x -> {most}), 0L, (x, y) -> x + y.n)"))
+
+    sizes = wanted.select(total(f"x.c <= {hot}").alias("cold"), total(f"x.c > {hot}").alias("hot")).first()
+    buckets = -(-(sizes["cold"] or 0) // bucket) or 1
+
+    def texts(which: str) -> DataFrame:
+        own = wanted.select(F.col("i").alias("j"), F.col("h").alias("g"), F.expr(f"filter(l, x -> {which})").alias("l")).where("size(l) > 0")
+        return rows.join(own, rows["i"].eqNullSafe(own["j"]) & (rows["h"] == own["g"])).select("i", "h", "t", "l")
+
+    packed = texts(f"x.c <= {hot}").mapInArrow(_pack(buckets, window), f"k long, i {name}, h long, s int, n int, t binary")
+    counted = packed.groupBy("k").applyInArrow(_count(window, to_arrow_type(kind)), f"i {name}, h long, later boolean, a int, b int, c long")
+    if sizes["hot"]:
+        once = texts(f"x.c > {hot}").groupBy("i", "h").agg(F.first("t").alias("t"), F.first("l").alias("l"))
+        windows = once.mapInArrow(_unpack(window), f"i {name}, h long, s int, t binary")
+        place = F.struct(F.col("i").isNull().alias("z"), "i", "h", "s")
+        first = windows.groupBy("t").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1")
+        repeated = windows.join(first, "t").withColumn("later", F.explode(F.when(place.eqNullSafe(F.col("first")), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+        counted = counted.unionByName(repeated.select("i", "h", "later", F.col("s").alias("a"), (F.col("s") + window).alias("b"), "c"))
+    return counted.groupBy("i", "h").agg(F.collect_list(F.struct("later", "a", "b", "c")).alias("r"))
 
 
 def repeats(documents: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, seed: int = SEED, hot: int = HOT, bucket: int = BUCKET) -> DataFrame:
-    """A row per document with a window that occurs elsewhere, or again: its runs of repeated words, and those removed."""
+    """A row per document with a window that occurs elsewhere, or again: its runs of repeated words with the occurrences of their commonest window, and the runs removed."""
     kind = documents.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            edges, (later, begin, end) = listed(b.column(1), ("later", "a", "b"))
+            edges, (later, begin, end, copies) = listed(b.column(1), ("later", "a", "b", "c"))
             owner = np.repeat(np.arange(b.num_rows), np.diff(edges))
             lists, sums = [], []
             for on in (~later, later):
-                row, x, y = merged(owner[on], begin[on], end[on])
-                span = pa.StructArray.from_arrays([pa.array(x, pa.int32()), pa.array(y, pa.int32())], ["start", "end"])
+                row, x, y, c = merged(owner[on], begin[on], end[on], copies[on])
+                fields = {"start": pa.array(x, pa.int32()), "end": pa.array(y, pa.int32())} | ({} if lists else {"copies": pa.array(c, pa.int64())})
+                span = pa.StructArray.from_arrays(list(fields.values()), list(fields))
                 lists.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)), pa.int32()), span))
                 sums.append(pa.array(np.bincount(row, y - x, b.num_rows).astype(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), *lists, *sums], ["i", "repeated", "removed", "repeated_words", "removed_words"])
 
-    span = "array<struct<start:int,end:int>>"
-    return _spans(documents, id, text, window, seed, hot, bucket).select("i", "r").mapInArrow(run, f"`{id}` {kind}, repeated {span}, removed {span}, repeated_words long, removed_words long")
+    spans = "repeated array<struct<start:int,end:int,copies:bigint>>, removed array<struct<start:int,end:int>>"
+    return _spans(documents, id, text, window, seed, hot, bucket).select("i", "r").mapInArrow(run, f"`{id}` {kind}, {spans}, repeated_words long, removed_words long")
 
 
 def cleaned(documents: DataFrame, id: str = "doc_id", text: str = "text", chars: str = "n_chars", window: int = WINDOW, seed: int = SEED, hot: int = HOT, bucket: int = BUCKET) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 import re
 import subprocess
 import sys
-from collections import defaultdict
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
@@ -132,12 +132,17 @@ def test_substring_dedup(spark, corpus, hot, bucket, window, seed):
     rows += [(100, rows[5][1]), (101, "same word again " * 60), (102, "same word again " * 20)]
     d = frame(spark, [(i, t, "en", "a", len(t)) for i, t in rows])
     again, later = brute_repeats(rows, window)
+    of = {i: tokens(t) for i, t in rows}
+    counts = Counter(tuple(t[k : k + window]) for t in of.values() for k in range(len(t) - window + 1))
     got = {x["doc_id"]: x for x in substring_dedup.repeats(d, window=window, seed=seed, hot=hot, bucket=bucket).collect()}
     assert set(got) == set(again)
     for i, x in got.items():
         assert {k for s in x["repeated"] for k in range(s["start"], s["end"])} == again[i]
         assert {k for s in x["removed"] for k in range(s["start"], s["end"])} == later.get(i, set())
         assert x["removed_words"] == len(later.get(i, ()))
+        times = {k: n for k in again[i] if (n := counts[tuple(of[i][k : k + window])]) > 1}
+        for s in x["repeated"]:
+            assert s["copies"] == max(n for k, n in times.items() if s["start"] <= k and k + window <= s["end"])
     clean = {x["doc_id"]: x for x in substring_dedup.cleaned(d, window=window, seed=seed, hot=hot, bucket=bucket).collect()}
     for i, t in rows:
         left = [w for k, w in enumerate(tokens(t)) if k not in later.get(i, ())]
@@ -148,6 +153,17 @@ def test_substring_dedup(spark, corpus, hot, bucket, window, seed):
             assert clean[i]["text"] == t
 
 
+def test_a_passage_in_most_documents(spark, corpus):
+    """A hot minimiser's windows are counted without a bucket of their own; rows that repeat id and text count once."""
+    rows, words = corpus
+    passage = words("en", 80)
+    d = frame(spark, [(i, f"{t} {passage} end{i}", "en", "a", 0) for i, t, *_ in rows] + [(0, f"{rows[0][1]} {passage} end0", "en", "a", 0), (None, passage, "en", "a", 0)])
+    cold, got = ({x["doc_id"]: x for x in substring_dedup.repeats(d, hot=hot).collect()} for hot in (100_000, 50))
+    assert got == cold and len(got) == len(rows) + 1
+    assert all(x["repeated_words"] >= 80 and max(s["copies"] for s in x["repeated"]) == len(rows) + 1 for x in got.values())
+    assert {i for i, x in got.items() if x["removed_words"] < 80} == {0}
+
+
 # 3
 
 
