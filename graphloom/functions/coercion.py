@@ -6,6 +6,7 @@ never match. All results are two-valued: an absent or unparsable value doesn't m
 
 from __future__ import annotations
 
+import re
 from typing import Any
 
 from pyspark.sql import Column
@@ -62,6 +63,12 @@ def in_range(column: Column, kind: str, low: Any = None, high: Any = None, inclu
     """Numbers, and strings that parse, within bounds; without any bound, open_is."""
     if low is None and high is None:
         return F.lit(open_is)
+    try:
+        low, high = (float(x) if isinstance(x, str) else x for x in (low, high))
+    except ValueError:
+        return F.lit(False)
+    if isinstance(low, bool) or isinstance(high, bool):
+        return F.lit(False)
     # a plain comparison of a numeric column reaches the Parquet reader
     x = column if is_number(kind) else number(column, kind)
     test = F.lit(True)
@@ -72,6 +79,32 @@ def in_range(column: Column, kind: str, low: Any = None, high: Any = None, inclu
     return definite(test)
 
 
+def matches(column: Column, pattern: str) -> Column:
+    """Whether the whole string matches; nothing matches a pattern that isn't one."""
+    if not is_pattern(pattern):
+        return F.lit(False)
+    return definite(column.rlike(f"^(?:{pattern})$"))
+
+
+def is_pattern(pattern: str) -> bool:
+    """As the JVM sees it, where there is one at hand."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark import SparkContext
+
+    context = SparkContext._active_spark_context
+    if context is None:
+        try:
+            re.compile(pattern)
+        except re.error:
+            return False
+        return True
+    try:
+        context._jvm.java.util.regex.Pattern.compile(f"^(?:{pattern})$")
+    except Py4JJavaError:
+        return False
+    return True
+
+
 def typed_match(value: Column, kind: Column, wanted: Any) -> Column:
     """match_value for a row of vprops, whose type is a column."""
     if isinstance(wanted, bool):

@@ -77,6 +77,10 @@ class PropertyGraph:
     edges: DataFrame
     vprops: DataFrame
     variables: dict[str, Any] = field(default_factory=dict)
+    #: Keys of which a vertex may have several values, in vprops; None: not known.
+    multi: frozenset[str] | None = None
+    #: Finds elements by id at their source; see sources.tables.Lookup.
+    lookup: Any = None
 
     @property
     def spark(self) -> SparkSession:
@@ -88,7 +92,9 @@ class PropertyGraph:
 
     @classmethod
     def of(cls, vertices: DataFrame, edges: DataFrame, vprops: DataFrame | None = None, **variables: Any) -> "PropertyGraph":
-        return cls(vertices, edges, vertices.sparkSession.createDataFrame([], VPROPS) if vprops is None else vprops, variables)
+        if vprops is None:
+            return cls(vertices, edges, vertices.sparkSession.createDataFrame([], VPROPS), variables, frozenset())
+        return cls(vertices, edges, vprops, variables)
 
     @classmethod
     def literal(cls, spark: SparkSession, vertices: list[dict], edges: list[dict] | None = None) -> "PropertyGraph":
@@ -113,10 +119,21 @@ class PropertyGraph:
         cast = {"string": text_of, "double": float, "long": int, "boolean": bool}
         table = [tuple([r["id"], r["label"]] + [cast[t](r[k]) if k in r else None for k, t in kinds.items()]) for r in rows]
         own = spark.createDataFrame(table, ", ".join([VERTICES, *(f"`{k}` {t}" for k, t in kinds.items())]))
-        return cls(own, edge_table(spark, edges or []), spark.createDataFrame(props, VPROPS))
+        return cls(own, edge_table(spark, edges or []), spark.createDataFrame(props, VPROPS), multi=frozenset(p[2] for p in props if p[5] != "SINGLE"))
 
     def replace(self, **changes: Any) -> "PropertyGraph":
-        return replace(self, **changes)
+        """With other tables. What was known of the old ones doesn't hold for them, unless it is said again."""
+        forget: dict[str, Any] = {"lookup": None} if changes.keys() & {"vertices", "edges"} else {}
+        if "vprops" in changes:
+            forget["multi"] = None
+        return replace(self, **forget | changes)
+
+    def multiple(self, keys: set[str]) -> set[str]:
+        """Those of the keys of which a vertex may have several values; read from vprops where it isn't known."""
+        if self.multi is not None or not keys:
+            return keys & (self.multi or set())
+        rows = self.vprops.where(F.col("key").isin(sorted(keys)) & (F.col("cardinality") != "SINGLE")).select("key").distinct()
+        return {x["key"] for x in rows.collect()}
 
     def property_columns(self, of: str = "vertices") -> list[str]:
         return [c for c in getattr(self, of).columns if c not in ("id", "label", "src", "dst")]

@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.model import PropertyGraph
 from graphloom.plans.iterate import cut, iterate
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """edges(a, b) with the least b of each a as m: a minimum combined before it travels, and a join that adaptive execution can split at hubs."""
+    least = edges.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m"))
+    return edges.join(least, F.col("a") == F.col("c")).select("a", "b", "m")
+
+
 def stars(edges: DataFrame) -> DataFrame:
     """edges(a, b) to (node, root): each node that isn't the least of its component, with the least."""
-    by = Window.partitionBy("a")
     start = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
     def step(state: tuple, _: int) -> tuple[tuple, bool]:
         now, before = state
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.withColumn("m", F.least(F.min("b").over(by), F.col("a"))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.withColumn("m", F.min("b").over(by))
+        large = cut(_least(both).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct())
+        least = _least(large)
         after = cut(least.select("a", F.col("m").alias("b")).unionByName(least.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
         sign = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         return (after, sign), sign != before

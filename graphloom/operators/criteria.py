@@ -1,8 +1,9 @@
 """Property criteria, compiled to one Column per tree.
 
 Keys that are vertex columns become plain expressions, which Catalyst pushes down to the scan. Keys that only `vprops` has
-become flags of one grouping of the rows of those keys, left-joined to the vertices: any live value of a key may match.
-Logic is two-valued throughout: an absent key fails any test but not_exists and exact(key, None), and NOT of a failure holds.
+become flags of one grouping of the rows of those keys, left-joined to the vertices: any live value of a key may match. Keys with
+a column for first values and several values in `vprops` (PropertyGraph.multi) get both. What can't be evaluated, such as a bound that isn't
+a number or a pattern that isn't one, is false. Logic is two-valued throughout: an absent key fails any test but not_exists and exact(key, None), and NOT of a failure holds.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.coercion import definite, in_range, is_number, match_value, typed_match
+from graphloom.functions.coercion import definite, in_range, is_number, match_value, matches, typed_match
 from graphloom.model import Cardinality, PropertyGraph
 
 
@@ -86,7 +87,7 @@ def on_column(c: Criterion, column: Column, kind: str) -> Column:
             return F.lit(False)
         return definite(F.contains(F.lower(column), F.lit(c.value.lower())) if c.options[0] else F.contains(column, F.lit(c.value)))
     if c.kind == "regex":
-        return definite(column.rlike(f"^(?:{c.value})$")) if kind == "string" else F.lit(False)
+        return matches(column, c.value) if kind == "string" else F.lit(False)
     if c.kind == "element":
         return definite(F.array_contains(column, c.value)) if kind.startswith("array") else match_value(column, kind, c.value)
     raise ValueError(c.kind)
@@ -102,13 +103,14 @@ def on_row(c: Criterion) -> Column:
     if c.kind == "contains":
         return definite((kind == "string") & (F.contains(F.lower(value), F.lit(c.value.lower())) if c.options[0] else F.contains(value, F.lit(c.value))))
     if c.kind == "regex":
-        return definite((kind == "string") & value.rlike(f"^(?:{c.value})$"))
+        return definite(kind == "string") & matches(value, c.value)
     return F.lit(True)
 
 
 def query_vertices(g: PropertyGraph, *criteria: Criterion) -> DataFrame:
     """The vertices that meet all criteria."""
     kinds = dict(g.vertices.dtypes)
+    several = g.multiple({k for c in criteria for k in c.keys()} & kinds.keys())
     flags: dict[Criterion, str] = {}
 
     def compiled(c: Criterion) -> Column:
@@ -116,12 +118,12 @@ def query_vertices(g: PropertyGraph, *criteria: Criterion) -> DataFrame:
             return reduce(lambda a, b: a & b if c.kind == "and" else a | b, map(compiled, c.parts), F.lit(c.kind == "and")) if c.parts else F.lit(c.kind == "and")
         if c.kind == "not":
             return ~compiled(c.parts[0])
-        if c.key in kinds:
-            return on_column(c, F.col(f"`{c.key}`"), kinds[c.key])
-        flag = flags.setdefault(c, f"__flag{len(flags)}")
-        if c.kind == "not_exists" or c.kind == "exact" and c.value is None:
-            return ~F.coalesce(F.col(flag), F.lit(False))
-        return F.coalesce(F.col(flag), F.lit(False))
+        absent = c.kind == "not_exists" or c.kind == "exact" and c.value is None
+        first = on_column(c, F.col(f"`{c.key}`"), kinds[c.key]) if c.key in kinds else F.lit(absent)
+        if c.key in kinds and c.key not in several:
+            return first
+        some = F.coalesce(F.col(flags.setdefault(c, f"__flag{len(flags)}")), F.lit(False))
+        return first & ~some if absent else first | some
 
     condition = reduce(lambda a, b: a & b, map(compiled, criteria), F.lit(True))
     if not flags:

@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.coercion import match_value
 from graphloom.model import RESERVED, Cardinality, DuplicateId, InvalidProperty, MissingElement, PropertyGraph, text_of, type_name
 
 
@@ -98,37 +99,82 @@ def set_property(g: PropertyGraph, where: Column, key: str, value: Any, cardinal
     if kind is Cardinality.SINGLE:
         other = g.vprops.where(F.col("key") == key).join(hit, "vertex_id", "left_anti").select(*g.vprops.columns)
         kept = g.vprops.where(F.col("key") != key).unionByName(other)
-    out = g.replace(vprops=kept.unionByName(row))
-    if key in g.vertices.columns and kind is Cardinality.SINGLE:
-        out = out.replace(vertices=g.vertices.withColumn(key, F.when(where, F.lit(value)).otherwise(F.col(key))))
+    multi = None if g.multi is None else g.multi | ({key} if kind is not Cardinality.SINGLE else set())
+    out = g.replace(vprops=kept.unionByName(row), multi=multi)
+    if key in g.vertices.columns:
+        new = where if kind is Cardinality.SINGLE else where & F.col(key).isNull()
+        out = out.replace(vertices=_with_value(g.vertices, key, new, value))
     return out
 
 
+def _with_value(vertices: DataFrame, key: str, where: Column, value: Any) -> DataFrame:
+    """The value in a typed column. One that doesn't fit makes a column of numbers double, any other a column of text."""
+    kind, own = dict(vertices.dtypes)[key], {"long": "bigint"}.get(type_name(value), type_name(value))
+    whole = {"tinyint", "smallint", "int", "bigint"}
+    if kind == own or kind in whole and own == "bigint" or kind == "float" and own == "double":
+        new, old = F.lit(value).cast(kind), F.col(key)
+    elif {kind, own} <= whole | {"float", "double"}:
+        new, old = F.lit(float(value)), F.col(key).cast("double")
+    else:
+        new, old = F.lit(text_of(value)), F.col(key).cast("string")
+    return vertices.withColumn(key, F.when(where, new).otherwise(old))
+
+
 def remove_property(g: PropertyGraph, key: str, value: Any = None, where: Column | None = None) -> PropertyGraph:
-    """A key's values, or those equal to the given one, of all vertices or those that meet the condition."""
+    """A key's values, or those equal to the given one, of all vertices or those that meet the condition. A typed column takes the first value that stays."""
     test = F.col("key") == key
     if value is not None:
         test = test & (F.col("value") == text_of(value))
     rows = g.vprops.where(test)
     if where is not None:
         rows = rows.join(g.vertices.where(where).select(F.col("id").alias("vertex_id")), "vertex_id", "left_semi")
-    out = g.replace(vprops=g.vprops.join(rows.select("prop_id"), "prop_id", "left_anti").select(*g.vprops.columns))
+    place = ["vertex_id", "key", "ord"]
+    out = g.replace(vprops=g.vprops.join(rows.select(*place).distinct(), place, "left_anti").select(*g.vprops.columns), multi=g.multi)
     if key in g.vertices.columns:
-        hit = F.lit(True) if where is None else where
+        hit, kind = F.lit(True) if where is None else where, dict(g.vertices.dtypes)[key]
+        vertices, rest = g.vertices, F.lit(None).cast(kind)
         if value is not None:
-            hit = hit & (F.col(key) == F.lit(value))
-        out = out.replace(vertices=g.vertices.withColumn(key, F.when(~F.coalesce(hit, F.lit(False)), F.col(key))))
+            hit = hit & match_value(F.col(key), kind, value)
+            first = out.vprops.where(F.col("key") == key).groupBy(F.col("vertex_id").alias("__v")).agg(F.min_by("value", "ord").alias("__rest"))
+            vertices, rest = g.vertices.join(first, F.col("id") == F.col("__v"), "left"), F.col("__rest").try_cast(kind)
+        out = out.replace(vertices=vertices.withColumn(key, F.when(F.coalesce(hit, F.lit(False)), rest).otherwise(F.col(key))).select(*g.vertices.columns), vprops=out.vprops, multi=g.multi)
     return out
 
 
 def update_property(g: PropertyGraph, where: Column, key: str, old: Any, new: Any) -> PropertyGraph:
-    """The value old becomes new, in place."""
+    """The value old becomes new, in place, and in a typed column, where it comes first."""
     _checked(key, new)
     hit = g.vertices.where(where).select(F.col("id").alias("vertex_id"), F.lit(True).alias("__hit"))
     rows = g.vprops.join(hit, "vertex_id", "left")
     test = F.coalesce(F.col("__hit"), F.lit(False)) & (F.col("key") == key) & (F.col("value") == text_of(old))
     rows = rows.withColumns({"value": F.when(test, F.lit(text_of(new))).otherwise(F.col("value")), "type": F.when(test, F.lit(type_name(new))).otherwise(F.col("type"))})
-    return g.replace(vprops=rows.select(*g.vprops.columns))
+    out = g.replace(vprops=rows.select(*g.vprops.columns), multi=g.multi)
+    if key in g.vertices.columns:
+        same = match_value(F.col(key), dict(g.vertices.dtypes)[key], old)
+        out = out.replace(vertices=_with_value(g.vertices, key, where & same, new), vprops=out.vprops, multi=g.multi)
+    return out
+
+
+def find_properties(g: PropertyGraph, key: str | None = None, value: Any = None, id: str | None = None, has_meta: bool | None = None) -> DataFrame:
+    """Property rows by key, value, property id and whether they have meta-properties; what isn't given doesn't count."""
+    rows = g.vprops
+    for column, wanted in (("key", key), ("value", None if value is None else text_of(value)), ("prop_id", id)):
+        rows = rows if wanted is None else rows.where(F.col(column) == wanted)
+    return rows if has_meta is None else rows.where((F.size("meta") > 0) == has_meta)
+
+
+def copied_properties(g: PropertyGraph, source: str, target: str, *keys: str) -> PropertyGraph:
+    """A vertex's property rows, or those of the given keys, on another vertex too, with their meta-properties, after what it has."""
+    mine = g.vprops.where(F.col("vertex_id") == source)
+    mine = mine.where(F.col("key").isin(list(keys))) if keys else mine
+    last = g.vprops.where(F.col("vertex_id") == target).groupBy("key").agg((F.max("ord") + 1).alias("__n"))
+    rows = mine.join(last, "key", "left").withColumns({"vertex_id": F.lit(target), "ord": F.col("ord") + F.coalesce("__n", F.lit(0).cast("long"))})
+    rows = rows.withColumns({"prop_id": _prop_id(), "cardinality": F.when(F.col("ord") > 0, "LIST").otherwise(F.col("cardinality"))})
+    return g.replace(vprops=g.vprops.unionByName(rows.select(*g.vprops.columns)))
+
+
+def _prop_id() -> Column:
+    return F.concat_ws("/", "vertex_id", "key", F.col("ord").cast("string"))
 
 
 def new_ids(old: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -150,14 +196,19 @@ def merge(g: PropertyGraph, other: PropertyGraph, conflict: Conflict | str | Non
         to = {c: ids.select(F.col("id").alias(c), F.col("new").alias(f"__{c}")) for c in ("id", "src", "dst", "vertex_id")}
         incoming = incoming.join(to["id"], "id", "left").withColumn("id", F.coalesce("__id", "id")).select(*other.vertices.columns)
         edges = edges.join(to["src"], "src", "left").join(to["dst"], "dst", "left").withColumns({"src": F.coalesce("__src", "src"), "dst": F.coalesce("__dst", "dst")}).select(*other.edges.columns)
-        props = props.join(to["vertex_id"], "vertex_id", "left").withColumn("vertex_id", F.coalesce("__vertex_id", "vertex_id")).select(*other.vprops.columns)
+        props = props.join(to["vertex_id"], "vertex_id", "left").withColumns({"vertex_id": F.coalesce("__vertex_id", "vertex_id"), "__moved": F.col("__vertex_id").isNotNull()})
+        props = props.withColumn("prop_id", F.when(F.col("__moved"), _prop_id()).otherwise(F.col("prop_id"))).select(*other.vprops.columns)
     if conflict is Conflict.REPLACE_ELEMENT:
         g = remove_vertices(g, _taken(g.vertices, incoming))
     if conflict is Conflict.MERGE_PROPERTIES:
         return _merged(g, incoming, edges, props, other)
     ids = new_ids(g.edges, edges).select("id", F.col("new").alias("__new"))
     edges = edges.join(ids, "id", "left").withColumn("id", F.coalesce("__new", "id")).select(*other.edges.columns)
-    return PropertyGraph(g.vertices.unionByName(incoming, allowMissingColumns=True), g.edges.unionByName(edges, allowMissingColumns=True), g.vprops.unionByName(props), g.variables | other.variables)
+    return PropertyGraph(g.vertices.unionByName(incoming, allowMissingColumns=True), g.edges.unionByName(edges, allowMissingColumns=True), g.vprops.unionByName(props), g.variables | other.variables, _multi(g, other))
+
+
+def _multi(*graphs: PropertyGraph) -> frozenset[str] | None:
+    return None if any(g.multi is None for g in graphs) else frozenset().union(*(g.multi for g in graphs))
 
 
 def _merged(g: PropertyGraph, incoming: DataFrame, edges: DataFrame, props: DataFrame, other: PropertyGraph) -> PropertyGraph:
@@ -175,6 +226,6 @@ def _merged(g: PropertyGraph, incoming: DataFrame, edges: DataFrame, props: Data
     rest = props.where("cardinality <> 'SET'").unionByName(sets)
     last = kept.groupBy("vertex_id", "key").agg(F.max("ord").alias("__last"))
     rest = rest.join(last, ["vertex_id", "key"], "left").withColumn("ord", F.col("ord") + F.coalesce(F.col("__last") + 1, F.lit(0).cast("long")))
-    rest = rest.withColumn("prop_id", F.concat_ws("/", "vertex_id", "key", F.col("ord").cast("string"))).select(*props.columns)
+    rest = rest.withColumn("prop_id", _prop_id()).select(*props.columns)
     fresh = edges.join(g.edges.select("id"), "id", "left_anti").select(*edges.columns)
-    return PropertyGraph(both.select(*columns), g.edges.unionByName(fresh, allowMissingColumns=True), kept.unionByName(rest), g.variables | other.variables)
+    return PropertyGraph(both.select(*columns), g.edges.unionByName(fresh, allowMissingColumns=True), kept.unionByName(rest), g.variables | other.variables, _multi(g, other))

@@ -37,24 +37,30 @@ def spanning_forest(g: PropertyGraph, property: str = "weight") -> DataFrame:
 
 
 def topological(g: PropertyGraph, direction: Direction | str = Direction.OUT) -> DataFrame | None:
-    """(id, level): how many rounds of removing vertices without incoming edges come before. None if there is a cycle."""
+    """(id, level): how many rounds of removing vertices without incoming edges come before. None if there is a cycle.
+
+    Edges stay as they are; what is left of the in-degrees is kept only for vertices that a removed edge has led to.
+    """
     edges = cut(walks(g.edges, direction).select("source", "target").distinct())
-    free = cut(g.vertices.select("id").join(edges.select(F.col("target").alias("id")), "id", "left_anti").select("id", F.lit(0).alias("level")))
+    into = cut(edges.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("n")))
+    free = cut(g.vertices.select("id").join(into, "id", "left_anti").select("id", F.lit(0).alias("level")))
+    left = cut(into.limit(0))
 
     def step(state: tuple, k: int) -> tuple[tuple, bool]:
-        edges, free, done, rows = state
+        left, free, done, rows = state
         if rows == 0:
             return state, False
         gone = small(free.select(F.col("id").alias("source")), rows)
-        rest = cut(edges.join(gone, "source", "left_anti"))
-        # only ends of edges just removed can have become free
-        ends = edges.join(gone, "source", "left_semi").select(F.col("target").alias("id")).distinct()
-        new = cut(ends.join(rest.select(F.col("target").alias("id")), "id", "left_anti").select("id", F.lit(k + 1).alias("level")))
+        fewer = edges.join(gone, "source").groupBy(F.col("target").alias("id")).agg(F.count("*").alias("less"))
+        before = fewer.join(left.select("id", F.col("n").alias("had")), "id", "left").join(into, "id")
+        touched = cut(before.select("id", (F.coalesce("had", "n") - F.col("less")).alias("n")))
+        new = cut(touched.where("n = 0").select("id", F.lit(k + 1).alias("level")))
+        left = cut(left.join(touched.select("id"), "id", "left_anti").unionByName(touched.where("n > 0")))
         done = done.unionByName(new)
-        return (rest, new, cut(done) if k % 8 == 7 else done, new.count()), True
+        return (left, new, cut(done) if k % 8 == 7 else done, new.count()), True
 
-    rest, _, done, _ = iterate((edges, free, free, free.count()), step)
-    return done if rest.isEmpty() else None
+    _, _, done, _ = iterate((left, free, free, free.count()), step)
+    return done if done.count() == g.vertices.count() else None
 
 
 def strong(g: PropertyGraph, direction: Direction | str = Direction.OUT) -> DataFrame:

@@ -121,17 +121,17 @@ def weighted_path(g: PropertyGraph, start: str, end: str, direction: Direction |
 
 
 def closure(g: PropertyGraph, direction: Direction | str = Direction.OUT) -> DataFrame:
-    """(src, dst): everything each vertex can reach but itself. Paths double in length every round."""
+    """(src, dst): everything each vertex can reach but itself. Paths double in length every round, and only new ones are joined."""
     start = cut(walks(g.edges, direction).where("source <> target").select(F.col("source").alias("src"), F.col("target").alias("dst")).distinct())
 
     def step(state: tuple, _: int) -> tuple[tuple, bool]:
-        paths, rows = state
-        left, right = paths.select("src", F.col("dst").alias("m")), paths.select(F.col("src").alias("m"), "dst")
-        more = cut(paths.unionByName(left.join(right, "m").where("src <> dst").select("src", "dst")).distinct())
-        n = more.count()
-        return (more, n), n > rows
+        paths, new = state
+        left, right = (lambda x: x.select("src", F.col("dst").alias("m"))), (lambda x: x.select(F.col("src").alias("m"), "dst"))
+        found = left(new).join(right(paths), "m").select("m", "src", "dst").unionByName(left(paths).join(right(new), "m").select("m", "src", "dst"))
+        more = cut(found.where("src <> dst").select("src", "dst").distinct().join(paths, ["src", "dst"], "left_anti"))
+        return (cut(paths.unionByName(more)), more), not more.isEmpty()
 
-    return iterate((start, start.count()), step)[0]
+    return iterate((start, start), step)[0]
 
 
 def diameter(g: PropertyGraph, most: int = 20_000) -> DataFrame:
