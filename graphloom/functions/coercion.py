@@ -90,6 +90,7 @@ def is_pattern(pattern: str) -> bool:
     """As the JVM sees it, where there is one at hand."""
     from py4j.protocol import Py4JJavaError
     from pyspark import SparkContext
+    from pyspark.errors import PySparkException
 
     context = SparkContext._active_spark_context
     if context is None:
@@ -100,7 +101,7 @@ def is_pattern(pattern: str) -> bool:
         return True
     try:
         context._jvm.java.util.regex.Pattern.compile(f"^(?:{pattern})$")
-    except Py4JJavaError:
+    except (Py4JJavaError, PySparkException):
         return False
     return True
 

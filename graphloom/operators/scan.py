@@ -12,19 +12,28 @@ from graphloom.model import Direction, PropertyGraph
 
 
 def by_ids(elements: DataFrame, ids: list[str]) -> DataFrame:
-    """A row for each id given, as often as it is given; unknown ids are left out. A single id becomes a pushed-down filter."""
+    """A row for each id given, as often as it is given; unknown ids are left out. Of graphs whose ids are made of several columns, use vertices_by_ids and edges_by_ids."""
     if len(set(ids)) == len(ids):
         return elements.where(F.col("id").isin(ids)) if ids else elements.limit(0)
     wanted = elements.sparkSession.createDataFrame([(i,) for i in ids], "id string")
     return wanted.join(elements.where(F.col("id").isin(sorted(set(ids)))), "id").select(*elements.columns)
 
 
+def vertices_by_ids(g: PropertyGraph, ids: list[str]) -> DataFrame:
+    """As by_ids, by filters on the source's own keys where the graph knows how."""
+    return by_ids(g.vertices if g.lookup is None else g.lookup.vertices(sorted(set(ids))), ids)
+
+
+def edges_by_ids(g: PropertyGraph, ids: list[str]) -> DataFrame:
+    return by_ids(g.edges if g.lookup is None else g.lookup.edges(sorted(set(ids))), ids)
+
+
 def vertex(g: PropertyGraph, id: str) -> DataFrame:
-    return g.vertices.where(F.col("id") == id).limit(1)
+    return vertices_by_ids(g, [id]).limit(1)
 
 
 def edge(g: PropertyGraph, id: str) -> DataFrame:
-    return g.edges.where(F.col("id") == id).limit(1)
+    return edges_by_ids(g, [id]).limit(1)
 
 
 def by_label(elements: DataFrame, *labels: str) -> DataFrame:
@@ -48,7 +57,8 @@ def filtered(elements: DataFrame, *predicates: Column) -> DataFrame:
 
 
 def between(g: PropertyGraph, out: str, into: str, *labels: str) -> DataFrame:
-    return by_label(g.edges, *labels).where((F.col("src") == out) & (F.col("dst") == into))
+    edges = by_label(g.edges, *labels) if g.lookup is None else g.lookup.between(out, into, *labels)
+    return edges.where((F.col("src") == out) & (F.col("dst") == into))
 
 
 def first_by_name(g: PropertyGraph, name: str, key: str = "name") -> DataFrame:

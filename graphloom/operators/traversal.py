@@ -63,6 +63,11 @@ def bounded(g: PropertyGraph, starts: list[str], depth: int, *process: Column) -
     return found.join(g.vertices, "id").select("id", "depth", *process) if process else found
 
 
+def bounded_both(g: PropertyGraph, start: str, depth: int) -> DataFrame:
+    """(id, depth) within `depth` steps, direction aside."""
+    return levels(g, _one(g, start), depth=depth).select("id", "depth")
+
+
 def shortest_path(g: PropertyGraph, start: str, end: str, direction: Direction | str = Direction.BOTH) -> list[str] | None:
     """The ids of a shortest path; among equals, back from the end, always over the smallest id. None if there is none."""
     if start == end:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,29 @@ def key(label: str, column: str | Column) -> Column:
     return F.concat(F.lit(label + ":"), (F.col(column) if isinstance(column, str) else column).cast("string"))
 
 
-def _vertices(df: DataFrame, label: str, pk: str, **props: str) -> DataFrame:
+#: Of each vertex label: table, key, and columns by property.
+VERTEX_SOURCES: dict[str, tuple[str, str, dict[str, str]]] = {
+    "region": ("region", "r_regionkey", {"name": "r_name"}),
+    "nation": ("nation", "n_nationkey", {"name": "n_name"}),
+    "customer": ("customer", "c_custkey", {"name": "c_name", "balance": "c_acctbal", "segment": "c_mktsegment"}),
+    "supplier": ("supplier", "s_suppkey", {"name": "s_name", "balance": "s_acctbal"}),
+    "part": ("part", "p_partkey", {"name": "p_name", "price": "p_retailprice", "size": "p_size", "brand": "p_brand"}),
+    "orders": ("orders", "o_orderkey", {"status": "o_orderstatus", "priority": "o_orderpriority", "total": "o_totalprice"}),
+}
+_LINE = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+#: Of each edge label: table, columns that make up its id, label and key of both ends, and columns of weight and discount.
+EDGE_SOURCES: dict[str, tuple[str, tuple[str, ...], tuple[str, str], tuple[str, str], str | None, str | None]] = {
+    "in_region": ("nation", ("n_nationkey",), ("nation", "n_nationkey"), ("region", "n_regionkey"), None, None),
+    "lives_in": ("customer", ("c_custkey",), ("customer", "c_custkey"), ("nation", "c_nationkey"), None, None),
+    "based_in": ("supplier", ("s_suppkey",), ("supplier", "s_suppkey"), ("nation", "s_nationkey"), None, None),
+    "placed": ("orders", ("o_orderkey",), ("customer", "o_custkey"), ("orders", "o_orderkey"), None, None),
+    "contains": ("lineitem", _LINE, ("orders", "l_orderkey"), ("part", "l_partkey"), "l_quantity", "l_discount"),
+    "supplies": ("lineitem", _LINE, ("supplier", "l_suppkey"), ("part", "l_partkey"), "l_quantity", "l_discount"),
+}
+
+
+def _vertices(df: DataFrame, label: str) -> DataFrame:
+    _, pk, props = VERTEX_SOURCES[label]
     own = [(F.col(props[c]) if c in props else F.lit(None)).cast(t).alias(c) for c, t in COLUMNS.items()]
     return df.select(key(label, pk).alias("id"), F.lit(label).alias("label"), *own)
 
@@ -32,43 +56,69 @@ def _edges(df: DataFrame, label: str, id: Column, src: Column, dst: Column, weig
     )
 
 
+def _edges_from(df: DataFrame, label: str) -> DataFrame:
+    _, parts, src, dst, weight, discount = EDGE_SOURCES[label]
+    return _edges(df, label, F.concat_ws(":", *[F.col(c).cast("bigint") for c in parts]), key(*src), key(*dst), *[None if c is None else F.col(c) for c in (weight, discount)])
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def vertices_of(spark: SparkSession, sf_dir: str, labels: list[str]) -> DataFrame:
-    of = {
-        "region": lambda t: _vertices(t, "region", "r_regionkey", name="r_name"),
-        "nation": lambda t: _vertices(t, "nation", "n_nationkey", name="n_name"),
-        "customer": lambda t: _vertices(t, "customer", "c_custkey", name="c_name", balance="c_acctbal", segment="c_mktsegment"),
-        "supplier": lambda t: _vertices(t, "supplier", "s_suppkey", name="s_name", balance="s_acctbal"),
-        "part": lambda t: _vertices(t, "part", "p_partkey", name="p_name", price="p_retailprice", size="p_size", brand="p_brand"),
-        "orders": lambda t: _vertices(t, "orders", "o_orderkey", status="o_orderstatus", priority="o_orderpriority", total="o_totalprice"),
-    }
-    parts = [of[x](table(spark, sf_dir, x)) for x in labels]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _union([_vertices(table(spark, sf_dir, VERTEX_SOURCES[x][0]), x) for x in labels])
 
 
 def edges_of(spark: SparkSession, sf_dir: str, labels: list[str]) -> DataFrame:
-    """A lineitem's edges are told apart by a number within its order, part and supplier."""
-    t = lambda name: table(spark, sf_dir, name)
-
-    def lines() -> DataFrame:
-        w = Window.partitionBy("l_orderkey", "l_partkey", "l_suppkey").orderBy("l_linenumber", "l_shipdate", "l_extendedprice")
-        return t("lineitem").withColumn("eid", F.concat_ws(":", "l_orderkey", "l_partkey", "l_suppkey", F.row_number().over(w)))
-
-    of = {
-        "in_region": lambda: _edges(t("nation"), "in_region", F.col("n_nationkey"), key("nation", "n_nationkey"), key("region", "n_regionkey")),
-        "lives_in": lambda: _edges(t("customer"), "lives_in", F.col("c_custkey"), key("customer", "c_custkey"), key("nation", "c_nationkey")),
-        "based_in": lambda: _edges(t("supplier"), "based_in", F.col("s_suppkey"), key("supplier", "s_suppkey"), key("nation", "s_nationkey")),
-        "placed": lambda: _edges(t("orders"), "placed", F.col("o_orderkey"), key("customer", "o_custkey"), key("orders", "o_orderkey")),
-        "contains": lambda: _edges(lines(), "contains", F.col("eid"), key("orders", "l_orderkey"), key("part", "l_partkey"), F.col("l_quantity"), F.col("l_discount")),
-        "supplies": lambda: _edges(lines(), "supplies", F.col("eid"), key("supplier", "l_suppkey"), key("part", "l_partkey"), F.col("l_quantity"), F.col("l_discount")),
-    }
-    parts = [of[x]() for x in labels]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """A lineitem's edges are told apart by its line number and quantity; no window numbers them, so that filters reach the scan."""
+    return _union([_edges_from(table(spark, sf_dir, EDGE_SOURCES[x][0]), x) for x in labels])
+
+
+def _numbers(id: str) -> tuple[str, list[int]] | None:
+    """Label and whole numbers of an id like part:7; None if it isn't written like that."""
+    label, _, rest = id.partition(":")
+    try:
+        numbers = [int(x) for x in rest.split(":")]
+    except ValueError:
+        return None
+    return (label, numbers) if ":".join(map(str, numbers)) == rest and all(abs(x) < 1 << 63 for x in numbers) else None
+
+
+class Lookup:
+    """Elements by id: ids are taken apart, and their keys become filters on the tables' own columns, which Parquet can use."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, vertices: list[str], edges: list[str]):
+        self.spark, self.sf_dir, self.labels, self.edge_labels = spark, sf_dir, vertices, edges
+
+    def vertices(self, ids: list[str]) -> DataFrame:
+        found = {}
+        for label, numbers in filter(None, map(_numbers, ids)):
+            if label in self.labels and len(numbers) == 1:
+                found.setdefault(label, []).append(numbers[0])
+        parts = [_vertices(table(self.spark, self.sf_dir, VERTEX_SOURCES[x][0]).where(F.col(VERTEX_SOURCES[x][1]).isin(keys)), x) for x, keys in found.items()]
+        return _union(parts) if parts else vertices_of(self.spark, self.sf_dir, self.labels).limit(0)
+
+    def edges(self, ids: list[str]) -> DataFrame:
+        found = {}
+        for label, numbers in filter(None, map(_numbers, ids)):
+            if label in self.edge_labels and len(numbers) == len(EDGE_SOURCES[label][1]):
+                found.setdefault(label, []).append(numbers)
+        parts = []
+        for label, keys in found.items():
+            rows = table(self.spark, self.sf_dir, EDGE_SOURCES[label][0])
+            for c, values in zip(EDGE_SOURCES[label][1], zip(*keys, strict=True), strict=True):
+                rows = rows.where(F.col(c).isin(list(values)))
+            parts.append(_edges_from(rows, label).where(F.col("id").isin(ids)))
+        return _union(parts) if parts else edges_of(self.spark, self.sf_dir, self.edge_labels).limit(0)
+
+    def between(self, out: str, into: str, *labels: str) -> DataFrame:
+        ends, parts = (_numbers(out), _numbers(into)), []
+        for label in self.edge_labels:
+            name, _, src, dst, *_ = EDGE_SOURCES[label]
+            if (not labels or label in labels) and all(e and e[0] == end[0] and len(e[1]) == 1 for e, end in zip(ends, (src, dst), strict=True)):
+                rows = table(self.spark, self.sf_dir, name).where((F.col(src[1]) == ends[0][1][0]) & (F.col(dst[1]) == ends[1][1][0]))
+                parts.append(_edges_from(rows, label))
+        return _union(parts) if parts else edges_of(self.spark, self.sf_dir, self.edge_labels).limit(0)
 
 
 VERTEX_LABELS = ["region", "nation", "customer", "supplier", "part", "orders"]
@@ -77,7 +127,7 @@ EDGE_LABELS = ["in_region", "lives_in", "based_in", "placed", "contains", "suppl
 
 def commerce(spark: SparkSession, sf_dir: str, vertices: list[str] = VERTEX_LABELS, edges: list[str] = EDGE_LABELS) -> PropertyGraph:
     v = vertices_of(spark, sf_dir, vertices)
-    return PropertyGraph.of(v, edges_of(spark, sf_dir, edges), vprops(spark, sf_dir, vertices))
+    return PropertyGraph(v, edges_of(spark, sf_dir, edges), vprops(spark, sf_dir, vertices), multi=frozenset({"priorities"}), lookup=Lookup(spark, sf_dir, vertices, edges))
 
 
 def vprops(spark: SparkSession, sf_dir: str, vertices: list[str] = VERTEX_LABELS) -> DataFrame:
@@ -111,6 +161,14 @@ def trade(spark: SparkSession, sf_dir: str, top: int = 2) -> PropertyGraph:
     return PropertyGraph.of(vertices_of(spark, sf_dir, ["nation"]), e)
 
 
+def purchases(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """Customers that ordered and parts that were ordered; an edge for each such pair, weighted by the quantity."""
+    t = lambda name: table(spark, sf_dir, name)
+    pairs = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey", "l_partkey").agg(F.sum("l_quantity").alias("q"))
+    ends = pairs.select(F.explode(F.array(F.struct(key("customer", "o_custkey").alias("id"), F.lit("customer").alias("label")), F.struct(key("part", "l_partkey").alias("id"), F.lit("part").alias("label")))).alias("v"))
+    return PropertyGraph.of(ends.select("v.*").distinct(), _edges(pairs, "ordered", F.concat_ws(">", "o_custkey", "l_partkey"), key("customer", "o_custkey"), key("part", "l_partkey"), F.col("q")))
+
+
 def order_chain(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Orders; from each to its customer's next."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")

@@ -59,11 +59,13 @@ def test_criteria(people, test, want):
 
 
 def test_multiple_values(people):
-    g = people.replace(vertices=people.vertices.drop("skill"))
-    assert ids(query_vertices(g, exact("skill", "Kotlin"))) == ["alice"]
-    assert ids(query_vertices(g, contains_element("skill", "Rust"))) == ["charlie"]
-    assert ids(query_vertices(g, exact("skill", None))) == ["acme", "globodyne"]
-    assert ids(query_vertices(g, negated(exact("skill", "Kotlin")), exact("type", "person"))) == ["bob", "charlie"]
+    unknown = people.replace(vprops=people.vprops)
+    assert people.multi == {"skill"} and unknown.multi is None
+    for g in (people, unknown, people.replace(vertices=people.vertices.drop("skill"))):
+        assert ids(query_vertices(g, exact("skill", "Kotlin"))) == ["alice"]
+        assert ids(query_vertices(g, contains_element("skill", "Rust"))) == ["charlie"]
+        assert ids(query_vertices(g, exact("skill", None))) == ids(query_vertices(g, not_exists("skill"))) == ["acme", "globodyne"]
+        assert ids(query_vertices(g, negated(exact("skill", "Kotlin")), exact("type", "person"))) == ["bob", "charlie"]
     assert ids(criteria.query_by_meta(people, "email", "verified", "true")) == ["alice"]
     assert ids(criteria.query_by_meta(people, "email", "verified")) == ["alice", "bob"]
     assert ids(criteria.query_by_cardinality(people, "skill", "LIST")) == ["alice", "bob", "charlie"]
@@ -241,6 +243,37 @@ def test_mutations(spark, modern):
     assert mutate.update_property(modern, F.col("id") == "1", "age", 29, 31).vprops.where("value = '31'").count() == 1
 
 
+def test_changes_show_in_criteria(spark, modern):
+    one = F.col("id") == "1"
+    older = mutate.update_property(modern, one, "age", 29, 31)
+    assert ids(query_vertices(older, exact("age", 31))) == ["1"] and ids(query_vertices(older, exact("age", 29))) == []
+    text = mutate.update_property(modern, one, "age", 29, "old")
+    assert ids(query_vertices(text, exact("age", "old"))) == ["1"] and ids(query_vertices(text, exact("age", 27))) == ["2"]
+    half = mutate.set_property(modern, one, "age", 29.5)
+    assert ids(query_vertices(half, exact("age", 29.5))) == ["1"]
+    g = mutate.set_property(modern, one, "age", 40, "LIST")
+    assert ids(query_vertices(g, exact("age", 40))) == ["1"] and ids(query_vertices(g, exact("age", 29))) == ["1"]
+    g = mutate.remove_property(g, "age", 29)
+    assert ids(query_vertices(g, exact("age", 29))) == [] and g.vertices.where("age = 40").count() == 1
+    assert ids(query_vertices(modern, between("age", "x", 40))) == [] and ids(query_vertices(modern, between("age", "20", "28"))) == ["2"]
+    assert ids(query_vertices(modern, regex("name", "jo("))) == [] and ids(query_vertices(modern.replace(vertices=modern.vertices.select("id", "label")), regex("name", "jo("))) == []
+    both = mutate.merge(modern, modern)
+    assert both.vprops.groupBy("prop_id").count().where("count > 1").isEmpty()
+    left = mutate.remove_property(both, "name", where=F.col("id").endswith("~1"))
+    assert left.vprops.where("key = 'name'").count() == 6 and ids(left.vprops.where("key = 'name'"), "vertex_id") == ["1", "2", "3", "4", "5", "6"]
+
+
+def test_finding_and_copying_properties(people):
+    skills = mutate.find_properties(people, "skill", "Kotlin")
+    assert ids(skills, "vertex_id") == ["alice"] and ids(mutate.find_properties(people, id=skills.first()["prop_id"]), "value") == ["Kotlin"]
+    assert mutate.find_properties(people, "email", has_meta=True).count() == 2 and mutate.find_properties(people, "email", has_meta=False).count() == people.vprops.where("key = 'email'").count() - 2
+    n = people.vprops.where("vertex_id = 'alice' and key = 'email'").count()
+    g = mutate.copied_properties(people, "alice", "acme", "email", "skill")
+    assert properties.meta_values(g.vprops.where("vertex_id = 'acme'")).count() >= 1 and g.vprops.where("vertex_id = 'acme' and key = 'email'").count() == n
+    twice = mutate.copied_properties(g, "alice", "acme", "skill").vprops.where("vertex_id = 'acme' and key = 'skill'")
+    assert twice.count() == 2 * people.vprops.where("vertex_id = 'alice' and key = 'skill'").count() == twice.select("prop_id").distinct().count()
+
+
 def test_indexes(spark):
     rows = [("Alice", 25, "New York", 75000, "Engineering"), ("Bob", 30, "San Francisco", 95000, "Engineering"), ("Charlie", 35, "New York", 85000, "Marketing"), ("Diana", 28, "Chicago", 70000, "Marketing"), ("Eve", 32, "San Francisco", 105000, "Engineering")]
     v = PropertyGraph.literal(spark, [dict(zip(("id", "age", "city", "salary", "department"), r, strict=True)) for r in rows]).vertices
