@@ -46,6 +46,8 @@ ROUNDS = 2
 MOST_TRIES = 64
 #: Leaves that are compared at once where nodes have any size.
 BLOCK = 1 << 13
+#: Ids of removed documents that are broadcast, so that texts needn't be shuffled to leave them out; more are joined by shuffling.
+BROADCAST = 1_000_000
 #: Microseconds of a row in a trie and of a verified pair, to weigh tries against depth.
 ROW_US, PAIR_US = 8.0, 0.008
 _SALT = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], np.uint64)
@@ -364,7 +366,8 @@ def _moved(every: DataFrame, farthest: int = FARTHEST, recall: float = RECALL, n
 def deduplicated(documents: DataFrame, id: str = "doc_id", text: str = "text", farthest: int = FARTHEST, recall: float = RECALL) -> DataFrame:
     """One document of each group, with its own columns; of rows that share an id, the one with the smallest text."""
     every = cut(signed(documents, id, text))
-    gone = _moved(every, farthest, recall).select(F.col("j").alias("__graphloom_gone"))
+    gone = cut(_moved(every, farthest, recall).select(F.col("j").alias("__graphloom_gone")))
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST else gone
     again = cut(every.where("i is not null").groupBy("i").count().where("count > 1").select(F.col("i").alias("__graphloom_again")))
     kept = documents.join(gone, documents[id] == gone["__graphloom_gone"], "left_anti")
     if again.isEmpty():

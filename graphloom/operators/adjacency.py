@@ -57,6 +57,13 @@ def connects(a: str, b: str) -> Column:
     return ((F.col("src") == a) & (F.col("dst") == b)) | ((F.col("src") == b) & (F.col("dst") == a))
 
 
+def parallel_edges(edges: DataFrame, opposite: bool = False) -> DataFrame:
+    """(a, b): pairs of edges, a < b by id, with the same ends the same way; or, if `opposite`, the other way round."""
+    other = edges.select(F.col("id").alias("b"), F.col("src").alias("__s"), F.col("dst").alias("__d"))
+    same = (F.col("src") == F.col("__d" if opposite else "__s")) & (F.col("dst") == F.col("__s" if opposite else "__d"))
+    return edges.select(F.col("id").alias("a"), "src", "dst").join(other, same).where("a < b").select("a", "b")
+
+
 def self_loops(edges: DataFrame) -> DataFrame:
     return edges.where("src = dst")
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.plans.iterate import cut
+
 
 def by_property(elements: DataFrame, key: str, ascending: bool = True) -> DataFrame:
     """Elements without the key come first (last, if descending); equals are ordered by id."""
@@ -22,7 +24,8 @@ def batches(elements: DataFrame, size: int, key: str = "id") -> DataFrame:
     """
     ordered = elements.select(F.col(key).alias("k"))
     n = ordered.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    local = ordered.repartitionByRange(int(n), "k").withColumn("p", F.spark_partition_id()).persist()
+    local = ordered.repartitionByRange(int(n), "k").withColumn("p", F.spark_partition_id())
+    local = cut(local)
     counts = local.groupBy("p").agg(F.count("*").alias("c"))
     before = counts.select("p", (F.sum("c").over(Window.orderBy("p")) - F.col("c")).alias("b"))
     placed = local.join(F.broadcast(before), "p").withColumn("at", F.col("b") + F.row_number().over(Window.partitionBy("p").orderBy("k")) - 1)

@@ -20,12 +20,29 @@ def first_value(vprops: DataFrame, key: str) -> DataFrame:
     return vprops.where(F.col("key") == key).groupBy("vertex_id").agg(F.min_by("value", "ord").alias("value"))
 
 
-def properties(vprops: DataFrame, *keys: str, hidden: bool = False) -> DataFrame:
-    """All rows, or those of the given keys. Hidden keys (~...) only if asked for."""
+def properties(vprops: DataFrame, *keys: str, hidden: bool = False, where: Column | None = None, cardinality: str | None = None, has_meta: bool | None = None) -> DataFrame:
+    """All rows, or those of the given keys; with a condition on value and type, a cardinality, or with or without meta-properties. Hidden keys (~...) only if asked for."""
     rows = vprops.where(F.col("key").isin(list(keys))) if keys else vprops
+    if where is not None:
+        rows = rows.where(where)
+    if cardinality is not None:
+        rows = rows.where(F.col("cardinality") == cardinality.upper())
+    if has_meta is not None:
+        rows = rows.where((F.size("meta") > 0) == has_meta)
     return rows if hidden else rows.where(~F.col("key").startswith("~"))
 
 
+def keys(vprops: DataFrame, hidden: bool = False) -> DataFrame:
+    """(vertex_id, keys): the sorted keys of each vertex that has any."""
+    return properties(vprops, hidden=hidden).groupBy("vertex_id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+
+
+def property_counts(g: PropertyGraph, *keys: str) -> DataFrame:
+    """(id, properties): how many property rows, of all keys or the given ones, every vertex has."""
+    counts = properties(g.vprops, *keys, hidden=True).groupBy(F.col("vertex_id").alias("id")).agg(F.count("*").alias("properties"))
+    return g.vertices.select("id").join(counts, "id", "left").select("id", F.coalesce("properties", F.lit(0).cast("long")).alias("properties"))
+
+
 def value_map(vprops: DataFrame) -> DataFrame:
     """(id, properties): every vertex's first values, as key=value pairs sorted by key."""
     firsts = vprops.groupBy("vertex_id", "key").agg(F.min_by("value", "ord").alias("value"))

@@ -24,11 +24,15 @@ class NotConverged(GraphError):
 def cut(df: DataFrame) -> DataFrame:
     """Computes df once into the checkpoint folder that the cluster names, so that a lost executor costs no more than a re-read.
 
-    Only a session that names none gets a temporary folder.
+    Only a local session that names none gets a temporary folder; a cluster's has to. Spent folders go if
+    spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="graphloom-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and sc.master != "local" and not sc.master.startswith("local["):
+            raise GraphError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="graphloom-"))
     return df.checkpoint(eager=True)
 
 

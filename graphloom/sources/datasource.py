@@ -41,7 +41,9 @@ class GraphSONReader(DataSourceReader):
         files = sorted(x for x in ([p] if p.is_file() else p.rglob("*")) if x.is_file() and x.name[0] not in "._")
         return [FilePart(str(x)) for x in files]
 
-    def read(self, partition: FilePart) -> Iterator[tuple]:
+    def read(self, partition: FilePart | None) -> Iterator[tuple]:
+        if partition is None:  # no files
+            return
         with open(partition.file, encoding="utf-8") as lines:
             for line in filter(str.strip, lines):
                 x = json.loads(line)

@@ -1,7 +1,8 @@
 """Typed graph JSON (GraphSON 3.0): element lines, which many tasks read and write, and single documents.
 
 Numbers are written as {"@type": ..., "@value": ...}, strings and booleans plainly (booleans as g:Boolean, lest they read as strings).
-Untyped JSON values read as strings. A property with several values reads as a LIST. Property ids are made anew.
+Untyped JSON values read as strings. Lists, sets and maps as single values keep their typed JSON as text, with the types list, set and map;
+`plain_value` makes Python values of it. A property with several values reads as a LIST. Property ids are made anew.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from graphloom.model import GraphError, PropertyGraph
 from graphloom.operators.mutate import Conflict, merge
 
 VERSION = "3.0"
-NAMES = {"long": "g:Int64", "double": "g:Double", "boolean": "g:Boolean"}
-KINDS = {"g:Int32": "long", "g:Int64": "long", "gx:Byte": "long", "gx:Int16": "long", "g:Float": "double", "g:Double": "double", "g:Boolean": "boolean"}
+NAMES = {"long": "g:Int64", "double": "g:Double", "boolean": "g:Boolean", "list": "g:List", "set": "g:Set", "map": "g:Map"}
+#: Texts that are written as cardinalities; they read as texts again.
+CARDINALITIES = ["single", "list", "set"]
+KINDS = {"g:Int32": "long", "g:Int64": "long", "gx:Byte": "long", "gx:Int16": "long", "g:Float": "double", "g:Double": "double", "g:Boolean": "boolean", "g:List": "list", "g:Set": "set", "g:Map": "map"}
 UNSUPPORTED = ["g:UUID", "g:Date", "g:Timestamp", "gx:BigDecimal", "gx:BigInteger", "g:Path", "g:Traverser", "g:Bytecode", "g:Lambda"]
 
 
@@ -30,7 +33,7 @@ def _quoted(c: Column) -> Column:
 
 
 def _typed(value: Column, kind: Column) -> Column:
-    out = _quoted(value)
+    out = F.when(value.isin(CARDINALITIES), F.concat(F.lit('{"@type":"g:Cardinality","@value":'), _quoted(value), F.lit("}"))).otherwise(_quoted(value))
     for k, name in NAMES.items():
         out = F.when(kind == k, F.concat(F.lit(f'{{"@type":"{name}","@value":'), value, F.lit("}"))).otherwise(out)
     return out
@@ -79,6 +82,71 @@ def document(g: PropertyGraph) -> str:
     return head + (f',"variables":{json.dumps(g.variables)}' if g.variables else "") + "}"
 
 
+def typed_value(value: Any) -> Any:
+    """A Python value as typed JSON."""
+    if value is None or isinstance(value, (bool, str)):
+        if value in CARDINALITIES:
+            return {"@type": "g:Cardinality", "@value": value}
+        return {"@type": "g:Boolean", "@value": value} if isinstance(value, bool) else value
+    if isinstance(value, int):
+        return {"@type": "g:Int64", "@value": value}
+    if isinstance(value, float):
+        return {"@type": "g:Double", "@value": value}
+    if isinstance(value, dict):
+        return {"@type": "g:Map", "@value": [typed_value(x) for pair in value.items() for x in pair]}
+    if isinstance(value, (set, frozenset)):
+        return {"@type": "g:Set", "@value": [typed_value(x) for x in sorted(value, key=str)]}
+    if isinstance(value, (list, tuple)):
+        return {"@type": "g:List", "@value": [typed_value(x) for x in value]}
+    raise InvalidGraphSON(f"unsupported type {type(value).__name__}")
+
+
+def plain_value(json_value: Any) -> Any:
+    """The Python value of typed JSON."""
+    if isinstance(json_value, list):
+        return [plain_value(x) for x in json_value]
+    if not isinstance(json_value, dict):
+        return json_value
+    kind, value = json_value.get("@type"), json_value.get("@value")
+    if kind in UNSUPPORTED:
+        raise InvalidGraphSON(f"unsupported type {kind}")
+    if kind in ("g:List", "g:Set"):
+        items = [plain_value(x) for x in value]
+        return items if kind == "g:List" else set(items)
+    if kind == "g:Map":
+        items = [plain_value(x) for x in value]
+        return dict(zip(items[::2], items[1::2], strict=True))
+    return value
+
+
+def write_value(value: Any) -> str:
+    return json.dumps(typed_value(value))
+
+
+def read_value(text: str) -> Any:
+    try:
+        return plain_value(json.loads(text))
+    except ValueError as e:
+        raise InvalidGraphSON(str(e)) from e
+
+
+def write_vertex(g: PropertyGraph, id: str) -> str | None:
+    """A vertex as a JSON object; None if there is none of that id."""
+    row = vertex_lines(g.replace(vertices=g.vertices.where(F.col("id") == id), vprops=g.vprops.where(F.col("vertex_id") == id))).first()
+    return row and row["line"]
+
+
+def write_edge(g: PropertyGraph, id: str) -> str | None:
+    row = edge_lines(g.replace(edges=g.edges.where(F.col("id") == id))).first()
+    return row and row["line"]
+
+
+def read_elements(spark: SparkSession, vertices: list[str] = (), edges: list[str] = ()) -> PropertyGraph:
+    """A graph of single elements' JSON."""
+    table = lambda lines: spark.createDataFrame([(x,) for x in lines], "line string")
+    return parse(table(vertices), table(edges))
+
+
 def _value(c: Column) -> Column:
     return F.coalesce(F.get_json_object(c, "$['@value']"), c)
 

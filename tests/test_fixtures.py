@@ -5,9 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.functions import vector
 from graphloom.model import Cardinality, Direction, DuplicateId, GraphError, InvalidProperty, MissingElement, PropertyGraph
 from graphloom.operators import adjacency, components, criteria, indexing, mutate, ordering, properties, scan, structure, traversal
 from graphloom.operators.criteria import all_of, any_of, between, contains, contains_element, exact, exists, negated, not_exists, query_properties, query_vertices, regex
+from graphloom.variables import Variables
 
 
 def ids(df, column="id"):
@@ -284,3 +286,33 @@ def test_indexes(spark):
     assert indexing.best_composite([["a", "b"], ["a", "b", "c"], ["d", "e"]], {"a", "b", "c"}) == ["a", "b", "c"]
     assert [tuple(r) for r in indexing.statistics(v, "city").collect()] == [("city", 3, 5, 5 / 3)]
     assert ordering.batches(v, 2).count() == 3 and [r["elements"] for r in ordering.batches(v, 2).orderBy("batch").collect()] == [2, 2, 1]
+
+
+def test_property_rows_by_condition(people):
+    assert properties.properties(people.vprops, cardinality="list").count() == 6 and properties.properties(people.vprops, "email", has_meta=True).count() == 2
+    assert ids(properties.properties(people.vprops, "age", where=F.col("value") > "28"), "value") == ["30", "35"]
+    counts = {r["id"]: r["properties"] for r in properties.property_counts(people, "skill").collect()}
+    assert sum(counts.values()) == 6 and counts["acme"] == 0
+    assert "skill" in {r["vertex_id"]: r["keys"] for r in properties.keys(people.vprops).collect()}["alice"]
+
+
+def test_parallel_edges(spark):
+    g = graph(spark, [(1, 2), (1, 2), (2, 1), (3, 3)])
+    assert [tuple(r) for r in adjacency.parallel_edges(g.edges).collect()] == [("e0", "e1")]
+    assert sorted(tuple(r) for r in adjacency.parallel_edges(g.edges, opposite=True).collect()) == [("e0", "e2"), ("e1", "e2")]
+
+
+def test_vector_arithmetic(spark):
+    d = spark.createDataFrame([([1.0, 3.0], [2.0, 4.0], 1.0, 2.0)], "a array<double>, b array<double>, x double, y double")
+    row = d.select(vector.above(F.col("a"), 2.0, True), vector.fused(F.col("a"), F.col("b"), 0.5, True), vector.above(F.col("x"), 2.0), vector.fused(F.col("x"), F.col("y"), 3.0)).first()
+    assert tuple(row) == ([False, True], [2.0, 5.0], False, 7.0)
+
+
+def test_variables():
+    v = Variables({"a.x": 1, "b": 2})
+    assert v.set("c", 3)["c"] == 3 and "c" not in v and v.set_if_absent("b", 9)["b"] == 2 and v.compute_if_absent("n", len)["n"] == 1
+    assert v.replace("z", 1) is v and v.replace("b", 5)["b"] == 5 and v.compare_and_set("b", 2, 7)[0]["b"] == 7 and v.compare_and_set("b", 1, 7) == (v, False)
+    assert v.merge("b", 3, int.__add__)["b"] == 5 and v.merge("n", 3, int.__add__)["n"] == 3 and "b" not in v.merge("b", 0, lambda a, b: None)
+    assert dict(v.with_prefix("a.")) == {"a.x": 1} and dict(v.without_prefix("a.")) == {"b": 2} and v.get("q", 4) == 4 and dict(v.update({"b": 0}).remove("a.x")) == {"b": 0}
+    with pytest.raises(InvalidProperty):
+        v.set(" ", 1)

@@ -38,7 +38,10 @@ def test_graphson(spark, g, tmp_path):
     assert rows(t.edges) == rows(g.edges.select("id", "src", "dst", "label", "weight", "since"))
     assert t.vertices.where("id = '1'").first()["age"] == 30
     datasource.register(spark)
-    read = lambda x, p: spark.read.format("graphson").option("element", x).load(f"{tmp_path}/g/{p}")
+    (at,) = tmp_path.glob("g/v*")
+    read = lambda x, p: spark.read.format("graphson").option("element", x).load(f"{at}/{p}")
+    (tmp_path / "none").mkdir()
+    assert spark.read.format("graphson").load(f"{tmp_path}/none").count() == 0
     assert read("vertex", "vertices").where("id = '1'").first()["properties"]["tags"] == ["x", "y"]
     assert read("edge", "edges").where("id = 'e0'").first()["properties"] == {"weight": "0.5", "since": "2020"}
 
@@ -77,3 +80,60 @@ def test_backups(spark, g, tmp_path):
     with pytest.raises(GraphError):
         store.save(g, f"{tmp_path}/x", "yaml")
     assert g.vertices.where(F.col("id") == "3").count() == 1
+
+
+def test_a_failed_save_leaves_the_old_graph(spark, g, tmp_path):
+    path = f"{tmp_path}/s"
+    store.save(g, path)
+    bad = g.replace(variables={"k": 9}, edges=g.edges.withColumn("label", F.raise_error(F.lit("no"))))
+    with pytest.raises(Exception, match="no"):
+        store.save(bad, path)
+    assert store.load(spark, path).variables == g.variables and rows(store.load(spark, path).edges) == rows(g.edges)
+    assert [x["what"] for x in store.transactions(spark, path)] == ["begin", "end", "begin"]
+    assert store.recover(spark, path).startswith("1 unfinished") and store.recover(spark, path).startswith("0 unfinished")
+    old = store.load(spark, path)
+    store.save(g.replace(variables={"k": 1}), path, "orc")
+    assert old.vertices.count() == 3 and store.load(spark, path).variables == {"k": 1}
+    store.save(old, path)
+    assert store.load(spark, path).multi == g.multi and len(store.transactions(spark, path)) == 6
+    store.clean_log(spark, path, keep=1)
+    assert len(store.transactions(spark, path)) == 2
+
+
+def test_catalog_of_graphs(spark, g, tmp_path):
+    c = store.Catalog(spark, f"{tmp_path}/c")
+    assert c.list() == [] and not c.exists("a")
+    c.save("a", g)
+    c.save("b", g, "graphson")
+    assert c.list() == ["a", "b"] and c.load("b").vertices.count() == 3 and c.info("a")["format"] == "parquet" and c.info("a")["bytes"] > 0
+    assert c.delete("a") and not c.delete("a") and c.list() == ["b"]
+    c.clear()
+    with pytest.raises(GraphError):
+        c.load("b")
+    with pytest.raises(GraphError):
+        c.exists("../x")
+
+
+def test_typed_values(spark, g):
+    for value in (None, "x", "list", True, 3, 1.5, [1, "a", [True]], {1, 2}, {"k": [1], 2: "v"}):
+        assert graphson.read_value(graphson.write_value(value)) == value
+    assert json.loads(graphson.write_value("single"))["@type"] == "g:Cardinality"
+    for bad in ("{", '{"@type": "g:UUID", "@value": "x"}'):
+        with pytest.raises(graphson.InvalidGraphSON):
+            graphson.read_value(bad)
+    with pytest.raises(graphson.InvalidGraphSON):
+        graphson.typed_value(object())
+
+
+def test_single_elements_and_collections(spark, g):
+    vertex, edge = graphson.write_vertex(g, "1"), graphson.write_edge(g, "e0")
+    assert graphson.write_vertex(g, "nobody") is None
+    h = graphson.read_elements(spark, [vertex], [edge])
+    assert rows(h.vprops.drop("prop_id", "meta")) == rows(g.vprops.where("vertex_id = '1'").drop("prop_id", "meta")) and h.edges.first()["src"] == "1"
+    value = graphson.write_value([1, "a"])
+    line = '{"@type":"g:Vertex","@value":{"id":"v","label":"l","properties":{"k":[{"@type":"g:VertexProperty","@value":{"id":"p","value":%s,"label":"k"}}],"c":[{"@type":"g:VertexProperty","@value":{"id":"q","value":"single","label":"c"}}]}}}' % value
+    for _ in range(2):
+        h = graphson.read_elements(spark, [line])
+        k = {r["key"]: (r["type"], r["value"]) for r in h.vprops.collect()}
+        assert k["k"][0] == "list" and graphson.plain_value(json.loads(k["k"][1])) == [1, "a"] and k["c"] == ("string", "single")
+        line = graphson.write_vertex(h, "v")
