@@ -15,6 +15,7 @@ from graphloom.operators import properties as prop
 from graphloom.operators.criteria import all_of, any_of, between, contains, contains_element, exact, exists, negated, not_exists, query_vertices, regex
 from graphloom.sources import graphson, tables
 from graphloom.streaming import degrees as streams
+from graphloom.walk import gt, walk
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -727,6 +728,39 @@ def bounded_traversal(spark, sf):
     return traversal.bounded(tables.trade(spark, sf), ["nation:0", "nation:7"], 3)
 
 
+# Walks.
+
+
+@query(f"{E}, v AS (SELECT 'part:' || p_partkey AS id, p_brand AS brand, p_size AS size FROM part) SELECT v.brand AS value, count(*) AS count FROM e a JOIN e b ON a.dst = b.src JOIN v ON b.dst = v.id WHERE a.label = 'placed' AND b.label = 'contains' AND v.size > 10 GROUP BY v.brand")
+def walk_group_count(spark, sf):
+    """Brands of larger parts in all orders, as often as ordered."""
+    return walk(commerce(spark, sf)).V().has_label("customer").out("placed").out("contains").has("size", gt(10)).group_count("brand")
+
+
+@query(f"{E}, b AS (SELECT DISTINCT src FROM e WHERE label = 'based_in') SELECT e.dst AS id FROM b JOIN e ON e.src = b.src AND e.label = 'based_in' UNION ALL SELECT 'nation:' || n_nationkey FROM nation WHERE 'nation:' || n_nationkey NOT IN (SELECT dst FROM e WHERE label = 'based_in')")
+def walk_choose(spark, sf):
+    """Suppliers give their nations; nations without suppliers stay."""
+    g = tables.geo(spark, sf)
+    from_ = walk(g).V().has_label("supplier", "nation").choose(lambda w: w.has_label("supplier"), lambda w: w.out("based_in"), lambda w: w.not_(lambda x: x.in_("based_in")))
+    return from_.ids()
+
+
+@query(f"{T} SELECT c.dst AS id FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src WHERE a.src = 'nation:0'")
+def walk_repeat(spark, sf):
+    return walk(tables.trade(spark, sf)).V("nation:0").repeat(lambda w: w.out(), 3).ids()
+
+
+@query(f"{T} SELECT DISTINCT x.src AS a, x.dst AS b, y.dst AS c FROM e x JOIN e y ON x.dst = y.src JOIN e z ON z.src = y.dst AND z.dst = x.src")
+def walk_match(spark, sf):
+    """Circles of three."""
+    return walk(tables.trade(spark, sf)).match(("a", "out", "trades", "b"), ("b", "out", "trades", "c"), ("c", "out", "trades", "a"))
+
+
+@query(f"{T} SELECT a.src || '>' || a.dst || '>' || b.dst AS path FROM e a JOIN e b ON a.dst = b.src WHERE a.src = 'nation:0'")
+def walk_paths(spark, sf):
+    return walk(tables.trade(spark, sf)).V("nation:0").out().out().paths().select(F.array_join("path", ">").alias("path"))
+
+
 # Mutations.
 
 _NEAR = f"{v_sql('region', 'nation', 'supplier')}, {e_sql('in_region', 'based_in')}"

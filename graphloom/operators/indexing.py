@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.model import InvalidProperty
@@ -95,6 +95,53 @@ class Advisor:
         return out
 
 
+class Indexes:
+    """Copies of elements clustered by a key, under a folder: created, dropped, listed and asked."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        self.seen = Advisor()
+
+    def _at(self, kind: str, *keys: str) -> str:
+        return f"{self.folder}/{kind}-{'+'.join(keys)}"
+
+    def _fs(self):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+
+    def create(self, elements: DataFrame, kind: str, *keys: str) -> None:
+        if kind not in ("vertex", "edge") or not keys or any(not k.replace("_", "").isalnum() or k not in elements.columns for k in keys):
+            raise InvalidProperty(f"no index of {kind} by {', '.join(keys)}")
+        clustered(elements, self._at(kind, *keys), list(keys))
+
+    def list(self, kind: str) -> list[tuple[str, ...]]:
+        fs, path = self._fs()
+        if not fs.exists(path(self.folder)):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(path(self.folder)) if fs.exists(path(f"{s.getPath().toString()}/_SUCCESS"))]
+        return sorted(tuple(n.removeprefix(f"{kind}-").split("+")) for n in names if n.startswith(f"{kind}-"))
+
+    def drop(self, kind: str, *keys: str) -> bool:
+        """Whether it was there."""
+        fs, path = self._fs()
+        return fs.delete(path(self._at(kind, *keys)), True)
+
+    def get(self, elements: DataFrame, kind: str, **values: Any) -> DataFrame:
+        """Elements with these values: from the index by most of these keys, else from the elements themselves."""
+        self.seen.saw(*values)
+        best = best_composite([list(x) for x in self.list(kind)], set(values))
+        rows = self.spark.read.parquet(self._at(kind, *best)).select(*elements.columns) if best else elements
+        for k, v in values.items():
+            rows = rows.where(F.col(k) == F.lit(v))
+        return rows
+
+    def report(self, kind: str) -> dict[str, Any]:
+        """Which indexes there are, what was asked, and what else would be worth one."""
+        have = self.list(kind)
+        self.seen.indexed = {",".join(sorted(x)) for x in have}
+        return {"indexes": have, "asked": dict(self.seen.seen), "recommended": self.seen.recommendations()}
+
+
 def clustered(elements: DataFrame, path: str, keys: list[str], partition_by: str | None = "label", files: int | None = None) -> None:
     """Writes elements as Parquet, partitioned and sorted so that filters on the keys skip files and row groups."""
     df = elements.repartitionByRange(files, *keys) if files else elements.repartitionByRange(*keys)

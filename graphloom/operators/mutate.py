@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from enum import Enum
 from typing import Any
 
@@ -155,6 +156,38 @@ def update_property(g: PropertyGraph, where: Column, key: str, old: Any, new: An
     return out
 
 
+class Manager:
+    """Property changes one after another, with those who want to know told of each: listener(what, key, old, new)."""
+
+    def __init__(self, g: PropertyGraph, *listeners: Callable[[str, str, Any, Any], None]):
+        self.g, self.listeners = g, list(listeners)
+
+    def _tell(self, g: PropertyGraph, *what: Any) -> "Manager":
+        self.g = g
+        for listener in self.listeners:
+            listener(*what)
+        return self
+
+    def add(self, where: Column, key: str, value: Any, cardinality: Cardinality | str = Cardinality.SINGLE, meta: dict[str, Any] | None = None) -> "Manager":
+        return self._tell(set_property(self.g, where, key, value, cardinality, meta), "add", key, None, value)
+
+    def update(self, where: Column, key: str, old: Any, new: Any) -> "Manager":
+        return self._tell(update_property(self.g, where, key, old, new), "update", key, old, new)
+
+    def remove(self, key: str, value: Any = None, where: Column | None = None) -> "Manager":
+        return self._tell(remove_property(self.g, key, value, where), "remove", key, value, None)
+
+
+def key_values(*pairs: Any) -> dict[str, Any]:
+    """A dictionary of keys and values in turn."""
+    if len(pairs) % 2 or not all(isinstance(k, str) for k in pairs[::2]):
+        raise InvalidProperty("keys and values have to take turns, and keys are text")
+    for k, v in zip(pairs[::2], pairs[1::2], strict=True):
+        if k not in RESERVED:
+            _checked(k, v)
+    return dict(zip(pairs[::2], pairs[1::2], strict=True))
+
+
 def find_properties(g: PropertyGraph, key: str | None = None, value: Any = None, id: str | None = None, has_meta: bool | None = None) -> DataFrame:
     """Property rows by key, value, property id and whether they have meta-properties; what isn't given doesn't count."""
     rows = g.vprops

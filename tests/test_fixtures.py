@@ -316,3 +316,29 @@ def test_variables():
     assert dict(v.with_prefix("a.")) == {"a.x": 1} and dict(v.without_prefix("a.")) == {"b": 2} and v.get("q", 4) == 4 and dict(v.update({"b": 0}).remove("a.x")) == {"b": 0}
     with pytest.raises(InvalidProperty):
         v.set(" ", 1)
+
+
+def test_kept_indexes(spark, modern, tmp_path):
+    i = indexing.Indexes(spark, f"{tmp_path}/i")
+    assert i.list("vertex") == [] and ids(i.get(modern.vertices, "vertex", age=29)) == ["1"]
+    i.create(modern.vertices, "vertex", "age")
+    i.create(modern.vertices, "vertex", "lang", "name")
+    assert i.list("vertex") == [("age",), ("lang", "name")] and i.list("edge") == []
+    for _ in range(6):
+        i.get(modern.vertices, "vertex", lang="java")
+    assert ids(i.get(modern.vertices, "vertex", lang="java", name="lop")) == ["3"] and ids(i.get(modern.vertices, "vertex", age=32)) == ["4"]
+    assert i.report("vertex")["recommended"] == [("single", "lang", 6)]
+    assert i.drop("vertex", "age") and not i.drop("vertex", "age") and i.list("vertex") == [("lang", "name")]
+    with pytest.raises(InvalidProperty):
+        i.create(modern.vertices, "vertex", "nothing")
+
+
+def test_listeners(modern):
+    told = []
+    m = mutate.Manager(modern, lambda *what: told.append(what))
+    m.add(F.col("id") == "1", "city", "x").update(F.col("id") == "1", "city", "x", "y").remove("city", "y")
+    assert told == [("add", "city", None, "x"), ("update", "city", "x", "y"), ("remove", "city", "y", None)] and m.g.vprops.where("key = 'city'").isEmpty()
+    assert mutate.key_values("id", 1, "a", 2) == {"id": 1, "a": 2}
+    for wrong in (("a",), (1, 2), ("a", None)):
+        with pytest.raises(InvalidProperty):
+            mutate.key_values(*wrong)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.model import DuplicateId, GraphError, PropertyGraph
 from graphloom.operators import properties
-from graphloom.sources import datasource, graphson, store
+from graphloom.sources import datasource, graphml, graphson, store
 
 
 @pytest.fixture(scope="module")
@@ -137,3 +137,12 @@ def test_single_elements_and_collections(spark, g):
         k = {r["key"]: (r["type"], r["value"]) for r in h.vprops.collect()}
         assert k["k"][0] == "list" and graphson.plain_value(json.loads(k["k"][1])) == [1, "a"] and k["c"] == ("string", "single")
         line = graphson.write_vertex(h, "v")
+
+
+def test_graphml(spark, g, tmp_path):
+    (tmp_path / "g.xml").write_text(graphml.document(g))
+    h = graphml.read(spark, f"{tmp_path}/g.xml")
+    assert rows(h.vertices) == rows(g.vertices) and rows(h.edges) == rows(g.edges) and dict(h.vertices.dtypes) == dict(g.vertices.dtypes)
+    (tmp_path / "x.xml").write_text("<a/>")
+    with pytest.raises(GraphError):
+        graphml.read(spark, f"{tmp_path}/x.xml")
