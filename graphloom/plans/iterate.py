@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable
 from typing import TypeVar
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.model import GraphError
@@ -27,13 +27,19 @@ def cut(df: DataFrame) -> DataFrame:
     Only a local session that names none gets a temporary folder; a cluster's has to. Spent folders go if
     spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
-    sc = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which all executors reach."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder and sc.master != "local" and not sc.master.startswith("local["):
             raise GraphError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="graphloom-"))
-    return df.checkpoint(eager=True)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

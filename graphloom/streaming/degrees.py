@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.plans.iterate import cut
+from graphloom.plans.iterate import shared_folder
 
 
 def degree_stream(edges: DataFrame, end: str = "dst") -> DataFrame:
@@ -28,10 +28,13 @@ def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def in_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The counts once the stream has taken in all there is."""
-    name = f"degrees_{uuid.uuid4().hex}"
-    run = degree_stream(event_edges(spark, sf_dir)).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    """The counts once the stream has taken in all there is. Each batch writes the changed counts by number; the last of each target stays."""
+    at = f"{shared_folder(spark)}/degrees-{uuid.uuid4().hex}"
+
+    def keep(changed: DataFrame, batch: int) -> None:
+        changed.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{at}/rows/part={batch}")
+
+    run = degree_stream(event_edges(spark, sf_dir)).writeStream.outputMode("update").option("checkpointLocation", f"{at}/state").foreachBatch(keep).trigger(availableNow=True).start()
     run.awaitTermination()
-    out = cut(spark.table(name))
-    spark.catalog.dropTempView(name)
-    return out
+    rows = spark.read.schema("target string, degree long, batch long").parquet(f"{at}/rows")
+    return rows.groupBy("target").agg(F.max_by("degree", "batch").alias("degree"))
