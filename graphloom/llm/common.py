@@ -6,8 +6,12 @@ Case is folded for ASCII and Latin-1, byte for byte, so offsets in folded text a
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import inspect
+import sys
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,19 +33,19 @@ _powers = np.ones(1, np.uint64)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Computes df once and cuts its lineage, in the checkpoint folder that the cluster names.
-
-    Only a session that names none (tests) gets a temporary folder.
-    """
+    """Computes df once and cuts its lineage, in the checkpoint folder that the cluster names."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for what all executors must reach."""
+    """The folder for what all executors must reach. A cluster has to name it; a local session that names none gets a temporary one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="graphloom-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="graphloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -50,6 +54,31 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def lean(run: Callable) -> Callable:
+    """The same function for mapInArrow or applyInArrow, which gives memory back to the system when it is done: workers live on between tasks."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    def grouped(group: pa.Table) -> pa.Table:
+        try:
+            return run(group)
+        finally:
+            _give_back()
+
+    return mapped if inspect.isgeneratorfunction(run) else grouped
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):  # another C library has no such function
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def content_key(text: str) -> Column:
     """Tells rows apart that share an id: a hash of the text, 0 for null."""
     return F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(text))

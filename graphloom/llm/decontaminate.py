@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.automaton import SuffixAutomaton
-from graphloom.llm.common import Filter, Words, hashes_of, pieces, replaced, utf8, without, without_runs
+from graphloom.llm.common import Filter, Words, hashes_of, lean, pieces, replaced, utf8, without, without_runs
 
 LEAST = 5
 LONGEST = 13
@@ -108,7 +108,7 @@ def _hits(rows: DataFrame, benchmark: DataFrame, item: str, parts: list[tuple],
     schema = f"i {kind}, h long, g long, items array<{name.simpleString()}>, longest int, coverage double, runs {RUNS}, words long, shard int"
     out = rows.sparkSession.createDataFrame([], schema)
     for k, items in enumerate(parts):
-        found = rows.mapInArrow(_finder(items, limits, to_arrow_type(name), k), schema)
+        found = rows.mapInArrow(lean(_finder(items, limits, to_arrow_type(name), k)), schema)
         out = out.unionByName(found) if k else found
     return out
 
@@ -166,13 +166,13 @@ def cleaned(documents: DataFrame, benchmark: DataFrame, text: str = "text", char
     if not parts:
         return documents
     if len(parts) == 1:
-        return documents.mapInArrow(_cleaner(parts[0], limits, text, chars), documents.schema)
+        return documents.mapInArrow(lean(_cleaner(parts[0], limits, text, chars)), documents.schema)
     rows = documents.select(F.lit(None).cast("int").alias("i"), *_twice(text), F.col(text).cast("string").alias("t"))
     found = _hits(rows, benchmark, item, parts, limits).select(F.col("h").alias("__graphloom_h"), F.col("g").alias("__graphloom_g"), F.explode("runs").alias("r")).groupBy("__graphloom_h", "__graphloom_g").agg(F.collect_set("r").alias("__graphloom_runs"))
     h, g = _twice(text)
     keyed = documents.withColumns({"__graphloom_x": h, "__graphloom_y": g})
     every = keyed.join(found, (keyed["__graphloom_x"] == found["__graphloom_h"]) & (keyed["__graphloom_y"] == found["__graphloom_g"]), "left")
-    return every.select(*[keyed[f"`{c}`"] for c in documents.columns], found["__graphloom_runs"]).mapInArrow(without_runs(text, chars), documents.schema)
+    return every.select(*[keyed[f"`{c}`"] for c in documents.columns], found["__graphloom_runs"]).mapInArrow(lean(without_runs(text, chars)), documents.schema)
 
 
 def _cleaner(items: tuple, limits: tuple, text: str, chars: str):

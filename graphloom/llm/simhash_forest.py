@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Words, cut, join, mix, pieces, utf8
+from graphloom.llm.common import Words, cut, join, lean, mix, pieces, utf8
 from graphloom.llm.components import components
 
 BITS = 256
@@ -96,7 +96,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def signed(documents: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(i, s): ids and signatures."""
     kind = documents.schema[id].dataType.simpleString()
-    return documents.select(F.col(id).alias("i"), F.col(text).cast("string").alias("t")).mapInArrow(_sign, f"i {kind}, s binary")
+    return documents.select(F.col(id).alias("i"), F.col(text).cast("string").alias("t")).mapInArrow(lean(_sign), f"i {kind}, s binary")
 
 
 def missed(depth: np.ndarray | int, farthest: int = FARTHEST) -> np.ndarray:
@@ -188,7 +188,7 @@ def _counter(tries: range, depth: int, under: dict[int, np.ndarray] | None):
 
 def _oversized(leaves: DataFrame, tries: range, depth: int, most: int, under: dict[int, np.ndarray] | None = None) -> list:
     """(trie, prefix, leaves) of each node at that depth with more leaves than `most`; there can't be more than leaves * tries / most."""
-    counted = leaves.select("s").mapInArrow(_counter(tries, depth, under), "k int, p long, n long")
+    counted = leaves.select("s").mapInArrow(lean(_counter(tries, depth, under)), "k int, p long, n long")
     return [(x["k"], x["p"], x["n"]) for x in counted.groupBy("k", "p").agg(F.sum("n").alias("n")).where(F.col("n") > most).collect()]
 
 
@@ -297,8 +297,8 @@ def _planted(leaves: DataFrame, tries: range, top: int, heavy: dict, blocks: dic
 
     kind = leaves.schema["i"].dataType
     name = kind.simpleString()
-    rows = leaves.select("i", "q", "s").mapInArrow(_planter(tries, top, heavy, blocks), f"k int, d int, p long, x int, y int, i {name}, q long, s binary")
-    seen = rows.groupBy("k", "d", "p", "x", "y").applyInArrow(_verifier(farthest, to_arrow_type(kind), most), f"i {name}, q long, b {name}, m double")
+    rows = leaves.select("i", "q", "s").mapInArrow(lean(_planter(tries, top, heavy, blocks)), f"k int, d int, p long, x int, y int, i {name}, q long, s binary")
+    seen = rows.groupBy("k", "d", "p", "x", "y").applyInArrow(lean(_verifier(farthest, to_arrow_type(kind), most)), f"i {name}, q long, b {name}, m double")
     return cut(seen.groupBy("i", "q").agg(F.sum("m").alias("m"), F.collect_set("b").alias("l")))
 
 

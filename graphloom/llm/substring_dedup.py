@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WORD, Words, content_key, cut, fold, join, listed, merged, mix, pieces, utf8, without_runs
+from graphloom.llm.common import WORD, Words, content_key, cut, fold, join, lean, listed, merged, mix, pieces, utf8, without_runs
 
 WINDOW = 50
 SEED = 8
@@ -94,7 +94,7 @@ def _minimise(window: int, seed: int):
 
 
 def _packed(b: pa.RecordBatch) -> Iterator[tuple]:
-    """Of each super-k-mer that the last column lists: row, minimiser, first word, windows; and where its piece's words begin and end in the piece's normalised bytes."""
+    """Of each piece: row, the document's first word in the piece, minimiser, first word and windows of each super-k-mer that the last column lists; and the piece's normalised bytes, and where its words begin and end in them."""
     data, offsets = utf8(b.column(2))
     edges, fields = listed(b.column(3), ("m", "s", "n"))
     for lo, hi, words in pieces(data, offsets):
@@ -106,24 +106,17 @@ def _packed(b: pa.RecordBatch) -> Iterator[tuple]:
         at = np.concatenate([[0], np.cumsum(keep)])
         packed = np.where(inside, low, 32)[keep].astype(np.uint8).tobytes()
         begin, end = at[words.start].tolist(), at[words.end].tolist()
-        for d in range(lo, hi):
-            base = int(words.lo[d - lo])
-            for m, s, n in zip(*[x[edges[d] : edges[d + 1]].tolist() for x in fields], strict=True):
-                yield d, m, s, n, base, packed, begin, end
+        yield [(d, int(words.lo[d - lo]), m, s, n) for d in range(lo, hi) for m, s, n in zip(*[x[edges[d] : edges[d + 1]].tolist() for x in fields], strict=True)], packed, begin, end
 
 
 def _pack(buckets: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, bucket, first, count, text = [], [], [], [], []
-            for d, m, s, n, base, packed, begin, end in _packed(b):
-                rows.append(d)
-                bucket.append(m % buckets)
-                first.append(s)
-                count.append(n)
-                text.append(packed[begin[base + s] : end[base + s + n + window - 2]])
-            rows = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), b.column(0).take(rows), b.column(1).take(rows), pa.array(first, pa.int32()), pa.array(count, pa.int32()), pa.array(text, pa.binary())], ["k", "i", "h", "s", "n", "t"])
+            for listed_, packed, begin, end in _packed(b):
+                rows = pa.array([x[0] for x in listed_], pa.int64())
+                bucket, first, count = [m % buckets for _, _, m, _, _ in listed_], [x[3] for x in listed_], [x[4] for x in listed_]
+                text = [packed[begin[base + s] : end[base + s + n + window - 2]] for _, base, _, s, n in listed_]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), b.column(0).take(rows), b.column(1).take(rows), pa.array(first, pa.int32()), pa.array(count, pa.int32()), pa.array(text, pa.binary())], ["k", "i", "h", "s", "n", "t"])
 
     return run
 
@@ -133,13 +126,11 @@ def _unpack(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, first, text = [], [], []
-            for d, _, s, n, base, packed, begin, end in _packed(b):
-                rows += [d] * n
-                first += range(s, s + n)
-                text += [packed[begin[k] : end[k + window - 1]] for k in range(base + s, base + s + n)]
-            rows = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(first, pa.int32()), pa.array(text, pa.binary())], ["i", "h", "s", "t"])
+            for listed_, packed, begin, end in _packed(b):
+                rows = pa.array([d for d, _, _, _, n in listed_ for _ in range(n)], pa.int64())
+                first = [k for _, _, _, s, n in listed_ for k in range(s, s + n)]
+                text = [packed[begin[k] : end[k + window - 1]] for _, base, _, s, n in listed_ for k in range(base + s, base + s + n)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(first, pa.int32()), pa.array(text, pa.binary())], ["i", "h", "s", "t"])
 
     return run
 
@@ -220,8 +211,8 @@ def _spans(documents: DataFrame, id: str, text: str, window: int, seed: int, hot
     kind = documents.schema[id].dataType
     name = kind.simpleString()
     rows = documents.select(F.col(id).alias("i"), content_key(text).alias("h"), F.col(text).cast("string").alias("t"))
-    shared = rows.select("t").mapInArrow(_tally(window, seed), "m long, c long").groupBy("m").agg(F.sum("c").alias("c")).where("c > 1")
-    found = rows.mapInArrow(_minimise(window, seed), f"i {name}, h long, m long, s int, n int").join(shared, "m")
+    shared = rows.select("t").mapInArrow(lean(_tally(window, seed)), "m long, c long").groupBy("m").agg(F.sum("c").alias("c")).where("c > 1")
+    found = rows.mapInArrow(lean(_minimise(window, seed)), f"i {name}, h long, m long, s int, n int").join(shared, "m")
     wanted = cut(found.groupBy("i", "h").agg(F.collect_set(F.struct("m", "s", "n", "c")).alias("l")))
 
     def total(most: str):
@@ -234,11 +225,11 @@ def _spans(documents: DataFrame, id: str, text: str, window: int, seed: int, hot
         own = wanted.select(F.col("i").alias("j"), F.col("h").alias("g"), F.expr(f"filter(l, x -> {which})").alias("l")).where("size(l) > 0")
         return rows.join(own, rows["i"].eqNullSafe(own["j"]) & (rows["h"] == own["g"])).select("i", "h", "t", "l")
 
-    packed = texts(f"x.c <= {hot}").mapInArrow(_pack(buckets, window), f"k long, i {name}, h long, s int, n int, t binary")
-    counted = packed.groupBy("k").applyInArrow(_count(window, to_arrow_type(kind)), f"i {name}, h long, later boolean, a int, b int, c long")
+    packed = texts(f"x.c <= {hot}").mapInArrow(lean(_pack(buckets, window)), f"k long, i {name}, h long, s int, n int, t binary")
+    counted = packed.groupBy("k").applyInArrow(lean(_count(window, to_arrow_type(kind))), f"i {name}, h long, later boolean, a int, b int, c long")
     if sizes["hot"]:
         once = texts(f"x.c > {hot}").groupBy("i", "h").agg(F.first("t").alias("t"), F.first("l").alias("l"))
-        windows = once.mapInArrow(_unpack(window), f"i {name}, h long, s int, t binary")
+        windows = once.mapInArrow(lean(_unpack(window)), f"i {name}, h long, s int, t binary")
         place = F.struct(F.col("i").isNull().alias("z"), "i", "h", "s")
         first = windows.groupBy("t").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1")
         repeated = windows.join(first, "t").withColumn("later", F.explode(F.when(place.eqNullSafe(F.col("first")), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
@@ -264,7 +255,7 @@ def repeats(documents: DataFrame, id: str = "doc_id", text: str = "text", window
             yield pa.RecordBatch.from_arrays([b.column(0), *lists, *sums], ["i", "repeated", "removed", "repeated_words", "removed_words"])
 
     spans = "repeated array<struct<start:int,end:int,copies:bigint>>, removed array<struct<start:int,end:int>>"
-    return _spans(documents, id, text, window, seed, hot, bucket).select("i", "r").mapInArrow(run, f"`{id}` {kind}, {spans}, repeated_words long, removed_words long")
+    return _spans(documents, id, text, window, seed, hot, bucket).select("i", "r").mapInArrow(lean(run), f"`{id}` {kind}, {spans}, repeated_words long, removed_words long")
 
 
 def cleaned(documents: DataFrame, id: str = "doc_id", text: str = "text", chars: str = "n_chars", window: int = WINDOW, seed: int = SEED, hot: int = HOT, bucket: int = BUCKET) -> DataFrame:
@@ -274,4 +265,4 @@ def cleaned(documents: DataFrame, id: str = "doc_id", text: str = "text", chars:
     keyed = documents.withColumn("__graphloom_key", content_key(text))
     every = keyed.join(spans, keyed[id].eqNullSafe(spans["__graphloom_i"]) & (keyed["__graphloom_key"] == spans["__graphloom_h"]), "left").select(*[keyed[c] for c in names], spans["__graphloom_spans"])
 
-    return every.mapInArrow(without_runs(text, chars), documents.schema)
+    return every.mapInArrow(lean(without_runs(text, chars)), documents.schema)

@@ -369,6 +369,57 @@ def test_own_matches_of_each_sequence():
         assert {q: set(x) for q, x in SuffixAutomaton(sequences, least=2).own(text).items()} == want
 
 
+def test_scans_against_brute_force(spark):
+    """Own maximal matches by comparing words, every chain by recursion, then the best chains that don't overlap."""
+    r = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(40)]
+    templates = [(name, " ".join(r.choices(vocabulary, k=n))) for name, n in (("a", 12), ("b", 16), ("a", 9))]
+    templates.append(("c", " ".join(templates[0][1].split()[:7] + r.choices(vocabulary, k=8))))
+    least, gap, coverage = 3, 4, 0.6
+    docs = []
+    for i in range(60):
+        t = r.choices(vocabulary, k=r.randint(0, 12))
+        for _ in range(r.randint(0, 3)):
+            t += [w if r.random() < 0.93 else r.choice(vocabulary) for w in r.choice(templates)[1].split() if r.random() < 0.97] + r.choices(vocabulary, k=r.randint(0, 5))
+        docs.append((i, ". ".join(t)))
+
+    def brute(t):
+        found = []
+        for k, (_, template) in enumerate(templates):
+            q = template.split()
+            n = {e: max((n for n in range(least, e + 1) if any(q[s : s + n] == t[e - n : e] for s in range(len(q) - n + 1))), default=0) for e in range(len(t) + 1)} | {len(t) + 1: 0}
+            matches = sorted({(e - n[e], e, s, s + n[e]) for e in range(len(t) + 1) if n[e] and n[e + 1] <= n[e] for s in range(len(q) - n[e] + 1) if q[s : s + n[e]] == t[e - n[e] : e]})
+
+            def best(j, matches=matches):
+                a, b, s, e = matches[j]
+                ways = [(b - a, 0, [j])]
+                for i in range(j):
+                    a2, b2, s2, e2 = matches[i]
+                    if a2 < a and b2 < b and s2 < s and e2 < e and a - b2 <= gap and s - e2 <= gap:
+                        score, _, path = best(i)
+                        ways.append((score + b - a - max(0, b2 - a, e2 - s), -i, [*path, j]))
+                top = max(w[0] for w in ways)
+                return max((w for w in ways if w[0] == top), key=lambda w: (len(w[2]) == 1, w[1]))
+
+            used = set()
+            for score, _, path in sorted((best(j) for j in range(len(matches))), key=lambda w: (-w[0], w[2][-1])):
+                if not used & set(path):
+                    used |= set(path)
+                    if score >= coverage * len(q):
+                        found.append((-score, -score / len(q), matches[path[0]][0], k, matches[path[-1]][1]))
+        taken = []
+        for score, _, a, k, b in sorted(found):
+            if all(b <= x or a >= y for _, x, y, _ in taken):
+                taken.append((k, a, b, -score))
+        return taken
+
+    want = {(i, k, a, b, n) for i, text in docs for k, a, b, n in brute(text.split(". ") if text else [])}
+    got = license_scan.scanned(frame(spark, [(i, t, "en", "a", 0) for i, t in docs]), templates, least=least, gap=gap, coverage=coverage).collect()
+    text = dict(docs)
+    assert {(x["doc_id"], x["template"], len(tokens(text[x["doc_id"]][: x["start"]])), len(tokens(text[x["doc_id"]][: x["end"]])), x["matched"]) for x in got} == want and len(want) > 30
+    assert all(x["license"] == templates[x["template"]][0] for x in got)
+
+
 def test_license_chains_are_best():
     """One chain per document and template scores what a full search over match sequences finds."""
     r = random.Random(2)
@@ -527,6 +578,9 @@ def test_quality_rules(spark):
         (0, "The quick brown fox jumps over the lazy dog and then it sleeps in the warm sun until evening comes to the quiet valley below."), (1, "a b"), (2, "### $$$ %%% the word"), (3, "\n".join(["same line"] * 6)), (4, "you are an Idiot my friend"), (5, "1234567 890 12"),
         (6, "THE WORDS ARE LOUD HERE"), (7, "x" * 40 + " " + "y" * 40 + " " + "z" * 50), (8, "word " * 30), (9, "one...\ntwo...\nthree…\nfour"),
     ]
+    cjk = "これは日本語の文章です。中文也是这样写的，每个字都算作一个词。再写一句话，让它有二十个以上的字。"
+    (asian,) = quality_rules.ledger(frame(spark, [(1, cjk + " word", "ja", "a", 0)]), blocked=["Word"]).collect()
+    assert {n for n, b in quality_rules.BIT.items() if asian["failed"] & b} == {"blocked_words"} and asian["words"] == asian["ideographs"] + 1 > 30
     led = quality_rules.ledger(frame(spark, [(i, t, "en", "a", 0) for i, t in docs]))
     failed = {x["doc_id"]: {n for n, b in quality_rules.BIT.items() if x["failed"] & b} for x in led.collect()}
     assert failed[0] == set()
@@ -632,6 +686,36 @@ def test_every_document_is_trained_on(spark, monkeypatch):
     assert seen.value == sum(len(tokens(t)) for _, t, *_ in docs)
 
 
+def test_training_against_a_loop_over_partitions(spark, corpus):
+    """Every partition trains from the round's weights on its documents of the round; the mean, by words, begins the next."""
+    rows, _ = corpus
+    d = frame(spark, rows[:48]).repartition(3, "doc_id")
+    vocabulary, weights, counts, prior = pseudo_likelihood._fitted(d, "text", 2)
+    n = Counter(h for _, t, *_ in rows[:48] for h in words_of(t).hash.view(np.int64).tolist())
+    assert {x["w"]: x["n"] for x in counts.collect()} == n
+    common_words = sorted(n, key=lambda w: (-n[w], w))[: vocabulary.common]
+    expected = np.zeros(vocabulary.edge + 1)
+    again = pseudo_likelihood.Vocabulary(common_words, vocabulary.edge + 1)
+    for w, k in n.items():
+        expected[again.ids(np.array([w]).view(np.uint64))[0]] += k
+    assert (expected == prior).all()
+    parts = d.select("text", F.pmod(F.xxhash64("text"), F.lit(2)).alias("k")).rdd.glom().collect()
+    now = pseudo_likelihood.Network(expected).flat()
+    for k in range(2):
+        trained = []
+        for part in parts:
+            if texts := [x["text"] for x in part if x["k"] == k]:
+                net = pseudo_likelihood.Network(np.zeros(len(expected))).load(now)
+                data = "".join(texts).encode()
+                words = common.Words(np.frombuffer(data, np.uint8), np.cumsum([0] + [len(t.encode()) for t in texts]))
+                ids = again.ids(words.hash)
+                net.train(pseudo_likelihood.neighbours(ids, words, again.edge), ids, [np.zeros_like(x) for x in net.parts()])
+                trained.append((len(ids), net.flat()))
+        total = sum(m for m, _ in trained)
+        now = sum(m / total * x for m, x in trained).astype(np.float32)
+    assert np.allclose(now, weights, atol=2e-4)
+
+
 def test_words_in_buckets_have_their_own_probability(spark):
     r = random.Random(5)
     often = ["a" * (k % 50 + 1) + "b" * (k // 50) for k in range(600)] + ["c" * (k % 50 + 1) + "d" * (k // 50) for k in range(600)]
