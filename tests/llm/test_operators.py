@@ -192,8 +192,13 @@ def test_cross_parsing(corpus):
     texts = [rows[k][1] for k in range(40, 60)] + ["", "ß?", "!!", "xyzzy 42 Ωmega", "The " * 700]
     data = "".join(texts).encode()
     offsets = np.cumsum([0] + [len(t.encode()) for t in texts])
-    got, size, some = parser.phrases(np.frombuffer(data, np.uint8), offsets)
+    got, size, some, mixed = parser.phrases(np.frombuffer(data, np.uint8), offsets)
     assert got.tolist() == [[brute(t, reference[k]) for k in parser.langs] for t in texts]
+    for k, t in enumerate(texts):
+        pieces = [symbols(t)[lo : lo + language_id.SEGMENT] for lo in range(0, len(symbols(t)), language_id.SEGMENT)]
+        if len(pieces) == 1:
+            assert mixed[k] == pytest.approx(min(n * w for n, w in zip(got[k], parser.weight, strict=True)))
+        assert mixed[k] <= min(n * w for n, w in zip(got[k], parser.weight, strict=True)) + 1e-9
     assert size.tolist() == [len(symbols(t)) for t in texts] and some.tolist()[-5:] == [False, True, False, True, True]
 
 
@@ -222,6 +227,10 @@ def test_limits_follow_held_out_text(spark, corpus):
     usual = language_id.usual_bits(reference, held)
     assert set(usual) == set(reference)
     assert all(x < y for x, y in usual.values())
+    english, german = (" ".join(t for _, t, lang, *_ in rows if lang == x)[:1536] for x in ("en", "de"))
+    parser = language_id.CrossParser(reference)
+    *_, both = parser.phrases(*common.utf8(pa.array([english, german, english + " " + german])))
+    assert both[2] < 1.1 * (both[0] + both[1])
     most = language_id.limits(np.array([(2.0, 8.0), (2.0, 8.0), (np.nan, np.nan), (7.0, 9.0)]), np.array([10**8, 100, 100, 100]))
     assert most.tolist() == pytest.approx([6.8, 7.5, language_id.MOST_BITS, language_id.MOST_BITS], abs=0.01)
 

@@ -27,19 +27,21 @@ def known(rows, reference, usual):
         s = symbols(row[1] or "")
         if not s.strip(b"\0"):
             continue
-        best, limit = math.inf, 0
+        best, limit, pieces = math.inf, 0, defaultdict(lambda: math.inf)
         for k, parts in refs.items():
             count, weight = 0, math.log2(sum(map(len, parts)))
             for lo in range(0, len(s), language_id.SEGMENT):
-                piece, at = s[lo : lo + language_id.SEGMENT], 0
+                piece, at, own = s[lo : lo + language_id.SEGMENT], 0, 0
                 while at < len(piece):
                     n = 0
                     while at + n < len(piece) and any(piece[at : at + n + 1] in r for r in parts):
                         n += 1
-                    at, count = at + max(1, n), count + 1
+                    at, own = at + max(1, n), own + 1
+                count += own
+                pieces[lo] = min(pieces[lo], own * weight)
             if (bits := count * weight / len(s)) < best:
                 best, limit = bits, min(language_id.MOST_BITS, usual[k][0] + language_id.SHARE * (1 + language_id.LOOSE / math.sqrt(len(s))) * (usual[k][1] - usual[k][0]))
-        if best <= limit:
+        if sum(pieces.values()) / len(s) <= limit:
             out.append(row)
     return out
 
