@@ -6,7 +6,8 @@ matches of LEAST words or more are chained, whatever longer match of another tem
 covers COVERAGE of its template is reported, best first, where no better one lies.
 
 Ties go to more matched words, then the higher coverage, the earlier place, the first template. Null and empty documents have no
-chains; null and repeated ids are rows like any other. Without templates nothing is found. Extra columns are ignored.
+chains; null and repeated ids are rows like any other. Very long texts are read whole. Without templates nothing is found, nor in an empty
+table. Extra columns are ignored. `templates_of` takes templates from a table.
 """
 
 from __future__ import annotations
@@ -152,6 +153,12 @@ def _templates(templates: tuple, limits: tuple) -> Templates:
     return _built[templates, limits]
 
 
+def templates_of(table: DataFrame, license: str = "license", text: str = "text") -> list[tuple[str, str]]:
+    """Templates from a table, by license and text; rows without a word are left out, repeated ones count once. All templates are held in memory."""
+    rows = table.select(F.col(license).cast("string").alias("l"), F.col(text).cast("string").alias("t")).where("l is not null and t is not null").distinct().collect()
+    return sorted((x["l"], x["t"]) for x in rows if hashes_of(x["t"]))
+
+
 def scanned(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, id: str = "doc_id", text: str = "text", least: int = LEAST, gap: int = GAP, coverage: float = COVERAGE) -> DataFrame:
     """A row per covered span: id, license, template's number, start and end in characters, coverage, matched words."""
     kind = documents.schema[id].dataType.simpleString()

@@ -347,6 +347,14 @@ def test_license_scan(spark, corpus):
     assert len(by[5]) == 3
 
 
+def test_templates_from_a_table(spark):
+    table = spark.createDataFrame([("own", "all of these words have to be here"), ("own", "all of these words have to be here"), (None, "x"), ("none", " ! "), ("null", None)], "license string, text string")
+    templates = license_scan.templates_of(table)
+    assert templates == [("own", "all of these words have to be here")]
+    (found,) = license_scan.scanned(frame(spark, [(1, "Yes: all of these words have to be here.", "en", "a", 0)]), templates).collect()
+    assert (found["license"], found["start"], found["end"], found["coverage"]) == ("own", 5, 39, 1.0)
+
+
 def test_templates_inside_longer_matches_of_others():
     t = license_scan.Templates(license_scan.TEMPLATES)
     short = license_scan.TEMPLATES.index(("Apache-2.0", "Licensed under the Apache License, Version 2.0"))
