@@ -33,7 +33,7 @@ BITS = 256
 #: Signatures up to this distance are near duplicates: word pairs with a cosine of about 0.845.
 FARTHEST = 46
 #: Recall that the forest reaches at that very distance; nearer pairs have more.
-RECALL = 0.9
+RECALL = 0.95
 KEY_BITS = 48
 #: Leaves that a node has at most where its depth adapts.
 NODE = 1024
