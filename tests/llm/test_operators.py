@@ -235,6 +235,32 @@ def test_limits_follow_held_out_text(spark, corpus):
     assert most.tolist() == pytest.approx([6.8, 7.5, language_id.MOST_BITS, language_id.MOST_BITS], abs=0.01)
 
 
+def test_limits_come_from_all_labelled_documents(spark, corpus):
+    _, words = corpus
+    langs = ("de", "en", "es", "fr")
+    rows = [(k, words(langs[k % 4], 18 + k % 7), langs[k % 4], "a", 0) for k in range(480)]
+    text = words("fr", 600)
+    d = frame(spark, rows + [(900, "".join(random.Random(7).sample(text, len(text))), None, "a", 0), (901, text, None, "a", 0)])
+    reference, usual = language_id.learned(d)
+    assert all(len(v) == language_id.SAMPLE_DOCS and sum(map(len, v)) < language_id.SAMPLE_SYMBOLS for v in reference.values())
+    parser = language_id.CrossParser(reference)
+    for k, name in enumerate(parser.langs):
+        rest = [t for _, t, x, *_ in rows if x == name and len(t) >= language_id.HELD_SYMBOLS and t not in reference[name]]
+        for column, texts in zip(usual[name], (rest, [language_id.shuffled(t) for t in rest]), strict=True):
+            count, size, *_ = parser.phrases(*common.utf8(pa.array(texts)))
+            assert column == pytest.approx(np.median(count[:, k] * parser.weight[k] / size), abs=1 / language_id.STEPS)
+    got = {x["doc_id"]: x["accepted"] for x in language_id.identify(d).collect()}
+    assert not got[900] and got[901] and sum(got.values()) >= 0.99 * len(rows)
+    assert {x["doc_id"]: x["accepted"] for x in language_id.identify(d.repartition(7)).collect()} == got
+    assert {x["doc_id"] for x in language_id.accepted(d).collect()} == {i for i, ok in got.items() if ok}
+
+
+def test_shuffled_text_keeps_its_characters():
+    for t in ("", "a", "zażółć 日本 \U0001f600 gęślą", "ab" * 70_000):
+        assert sorted(language_id.shuffled(t)) == sorted(t) and language_id.shuffled(t) == language_id.shuffled(t)
+    assert language_id.shuffled("the quick brown fox") != "the quick brown fox"
+
+
 # 4
 
 
