@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from graphloom.model import Direction, PropertyGraph
 from graphloom.operators.scan import by_label
 
+#: Members of a class that travel in one row, about.
+BLOCK = 1024
 
 def walks(edges: DataFrame, direction: Direction | str, *labels: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """(source, target, edge): each edge in the directions walked. A self-loop is walked once in BOTH."""
@@ -80,10 +82,26 @@ def two_hop(g: PropertyGraph, start: DataFrame, first: tuple, second: tuple) ->
 
 
 def co_neighbours(g: PropertyGraph, *labels: str) -> DataFrame:
-    """(a, b, shared): pairs of sources of labelled edges and how many targets they share, a < b."""
-    e = by_label(g.edges, *labels).select("src", "dst").distinct()
-    left, right = e.select(F.col("src").alias("a"), "dst"), e.select(F.col("src").alias("b"), "dst")
-    return left.join(right, "dst").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    """(a, b, shared): pairs of sources of labelled edges and how many targets they share, a < b.
+
+    Sources with the same targets are a class, and only pairs of classes are counted. Members travel in blocks; tasks of equal shares unfold
+    pairs of blocks row by row, so that no grouping and no sort holds pairs of members.
+    """
+    e = by_label(g.edges, *labels).where("src is not null and dst is not null").select("src", "dst").distinct()
+    members = e.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("targets"))
+    blocks = F.ceil(F.count("*") / BLOCK).cast("int")
+    classes = members.groupBy("targets").agg(F.min("src").alias("c"), F.count("*").alias("n"), blocks.alias("k"))
+    ends = classes.select("c", "n", "k", F.explode("targets").alias("dst"))
+    side = lambda df, x: df.select(*[F.col(c) if c == "dst" else F.col(c).alias(f"{c}{x}") for c in df.columns])
+    pairs = side(ends, "a").join(side(ends, "b"), "dst").where("ca < cb or ca = cb and na > 1").groupBy("ca", "na", "ka", "cb", "nb", "kb").agg(F.count("*").alias("shared"))
+    single = pairs.where("na = 1 and nb = 1").select(F.col("ca").alias("a"), F.col("cb").alias("b"), "shared")
+    block = members.join(classes, "targets").select("c", F.expr("cast(pmod(xxhash64(src), k) as int)").alias("i"), "src").groupBy("c", "i").agg(F.collect_list("src").alias("ids"))
+    of = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    both = pairs.where("na > 1 or nb > 1").select("ca", "ka", "cb", "kb", "shared").withColumn("ia", of("ka")).withColumn("ib", of("kb")).where("ca < cb or ia <= ib")
+    tasks = max(int(g.spark.conf.get("spark.sql.shuffle.partitions")), 4 * g.spark.sparkContext.defaultParallelism)
+    both = both.join(side(block, "a"), ["ca", "ia"]).join(side(block, "b"), ["cb", "ib"]).repartition(tasks, "ca", "ia", "cb", "ib")
+    rows = both.withColumn("x", F.explode("idsa")).withColumn("y", F.explode("idsb")).where("ca < cb or ia < ib or x < y")
+    return rows.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared").unionByName(single)
 
 
 def degrees(g: PropertyGraph, direction: Direction | str, *labels: str, vertices: DataFrame | None = None) -> DataFrame:
