@@ -36,31 +36,69 @@ def spanning_forest(g: PropertyGraph, property: str = "weight") -> DataFrame:
     return iterate((label, edges.limit(0)), step)[1]
 
 
+def _chains(v: DataFrame) -> tuple[DataFrame, bool]:
+    """v(id, up, many) to (id, up, hops) and whether all got one: how far up the nearest vertex is that has no or many sources.
+
+    Reaches double every round; what has arrived stays as it is.
+    """
+    done = v.where("up is null or many").select("id", F.col("id").alias("up"), F.lit(0).alias("hops"))
+    open_ = v.where("not many").select("id", "up", F.lit(1).alias("hops"))
+
+    def step(state: tuple, _: int) -> tuple[tuple, bool]:
+        done, open_, rows, _ = state
+        if rows == 0:
+            return state, False
+        known = done.withColumn("over", F.lit(True)).unionByName(open_.withColumn("over", F.lit(False)))
+        known = known.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("hops").alias("more"), "over")
+        new = cut(open_.join(known, "up").select("id", F.col("further").alias("up"), (F.col("hops") + F.col("more")).alias("hops"), "over"))
+        left = new.where("not over").count()
+        if not left < rows:  # only circles, and what hangs on them, arrive nowhere
+            return (done, open_, 0, False), True
+        return (done.unionByName(new.where("over").drop("over")), new.where("not over").drop("over"), left, True), True
+
+    done, _, _, whole = iterate((done, open_, open_.count(), True), step)
+    return done, whole
+
+
 def topological(g: PropertyGraph, direction: Direction | str = Direction.OUT) -> DataFrame | None:
     """(id, level): how many rounds of removing vertices without incoming edges come before. None if there is a cycle.
 
-    Edges stay as they are; what is left of the in-degrees is kept only for vertices that a removed edge has led to.
+    That is the longest way to a vertex. Vertices with one source are as far from the nearest one above that has none or several as
+    doubling reaches tell, in rounds that grow with the logarithm of the chains; rounds of removal go over the others only.
     """
-    edges = cut(walks(g.edges, direction).select("source", "target").distinct())
+    walked = walks(g.edges, direction).select("source", "target")
+    into = walked.groupBy(F.col("target").alias("id")).agg(F.min("source").alias("up"), (F.min("source") < F.max("source")).alias("many"))
+    v = cut(g.vertices.select("id").join(into, "id", "left"))
+    chains, whole = _chains(v)
+    if not whole:
+        return None
+    joints = cut(v.where("many").select("id"))
+    if joints.isEmpty():
+        return chains.select("id", F.col("hops").alias("level")) if chains.count() == v.count() else None
+    chains = cut(chains)
+    inner = walked.join(joints.select(F.col("id").alias("target")), "target", "left_semi").join(chains.select(F.col("id").alias("source"), "up", "hops"), "source", "left")
+    # of a source that is no vertex, nothing is known: it never goes
+    edges = cut(inner.groupBy(F.coalesce("up", "source").alias("source"), "target").agg(F.max(F.coalesce("hops", F.lit(0)) + 1).alias("far")))
     into = cut(edges.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("n")))
-    free = cut(g.vertices.select("id").join(into, "id", "left_anti").select("id", F.lit(0).alias("level")))
-    left = cut(into.limit(0))
+    free = cut(v.where("up is null").select("id", F.lit(0).alias("level")))
+    left = cut(into.select("id", "n", F.lit(0).alias("level")).limit(0))
 
     def step(state: tuple, k: int) -> tuple[tuple, bool]:
         left, free, done, rows = state
         if rows == 0:
             return state, False
-        gone = small(free.select(F.col("id").alias("source")), rows)
-        fewer = edges.join(gone, "source").groupBy(F.col("target").alias("id")).agg(F.count("*").alias("less"))
-        before = fewer.join(left.select("id", F.col("n").alias("had")), "id", "left").join(into, "id")
-        touched = cut(before.select("id", (F.coalesce("had", "n") - F.col("less")).alias("n")))
-        new = cut(touched.where("n = 0").select("id", F.lit(k + 1).alias("level")))
+        gone = small(free.select(F.col("id").alias("source"), "level"), rows)
+        fewer = edges.join(gone, "source").groupBy(F.col("target").alias("id")).agg(F.count("*").alias("less"), F.max(F.col("level") + F.col("far")).alias("far"))
+        before = fewer.join(left.select("id", F.col("n").alias("had"), "level"), "id", "left").join(into, "id")
+        touched = cut(before.select("id", (F.coalesce("had", "n") - F.col("less")).alias("n"), F.greatest("level", "far").alias("level")))
+        new = cut(touched.where("n = 0").select("id", "level"))
         left = cut(left.join(touched.select("id"), "id", "left_anti").unionByName(touched.where("n > 0")))
         done = done.unionByName(new)
         return (left, new, cut(done) if k % 8 == 7 else done, new.count()), True
 
     _, _, done, _ = iterate((left, free, free, free.count()), step)
-    return done if done.count() == g.vertices.count() else None
+    out = cut(chains.join(done.select(F.col("id").alias("up"), "level"), "up").select("id", (F.col("level") + F.col("hops")).alias("level")))
+    return out if out.count() == v.count() else None
 
 
 def strong(g: PropertyGraph, direction: Direction | str = Direction.OUT) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 from itertools import combinations
 
 from graphloom.model import PropertyGraph
-from graphloom.operators import adjacency
+from graphloom.operators import adjacency, structure
 
 
 def graph(spark, edges, vertices=()):
@@ -26,3 +26,32 @@ def test_pairs_with_shared_targets_are_not_grouped(spark, monkeypatch):
         monkeypatch.setattr(adjacency, "BLOCK", size)
         assert sorted(tuple(x) for x in adjacency.co_neighbours(g).collect()) == want
     assert adjacency.co_neighbours(g, "none").collect() == []
+
+
+def test_layers_of_chains_take_few_rounds(spark, monkeypatch):
+    times = []
+    cut = structure.cut
+    monkeypatch.setattr(structure, "cut", lambda df: times.append(1) or cut(df))
+    chain = structure.topological(graph(spark, [(k, k + 1) for k in range(40)]))
+    assert {x["id"]: x["level"] for x in chain.collect()} == {str(k): k for k in range(41)} and len(times) < 20
+    assert dict(chain.dtypes)["level"] == "int"
+
+
+def test_layers_of_random_graphs(spark):
+    r = random.Random(5)
+    for n, m in ((12, 14), (14, 11)):
+        edges = [tuple(sorted(r.sample(range(n), 2))) for _ in range(m)] + [(0, n), (n, n + 1), (n + 1, n + 2), (0, n)]
+        level = dict.fromkeys(range(n + 3), 0)
+        for _ in range(n + 3):
+            for a, b in edges:
+                level[b] = max(level[b], level[a] + 1)
+        g = graph(spark, edges, range(n + 3))
+        assert {x["id"]: x["level"] for x in structure.topological(g).collect()} == {str(k): x for k, x in level.items()}
+        assert structure.topological(graph(spark, [*edges, (n + 2, n)])) is None and structure.topological(graph(spark, [*edges, (n + 2, n + 2)])) is None
+        back = dict.fromkeys(range(n + 3), 0)
+        for _ in range(n + 3):
+            for a, b in edges:
+                back[a] = max(back[a], back[b] + 1)
+        assert {x["id"]: x["level"] for x in structure.topological(g, "IN").collect()} == {str(k): x for k, x in back.items()}
+    assert structure.topological(graph(spark, [(0, 1)]), "BOTH") is None and structure.topological(graph(spark, [], [7])).collect()[0]["level"] == 0
+    assert structure.topological(PropertyGraph.empty(spark)).collect() == []
