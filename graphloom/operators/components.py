@@ -15,8 +15,8 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.join(least, F.col("a") == F.col("c")).select("a", "b", "m")
 
 
-def stars(edges: DataFrame) -> DataFrame:
-    """edges(a, b) to (node, root): each node that isn't the least of its component, with the least."""
+def _alternate(edges: DataFrame) -> DataFrame:
+    """edges(a, b) to (node, root) by star rounds over all of them."""
     start = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
     def step(state: tuple, _: int) -> tuple[tuple, bool]:
@@ -32,10 +32,46 @@ def stars(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _sparse(edges: DataFrame) -> DataFrame:
+    """edges(a, b) to (node, root): star rounds over two edges of each node, its least and its greatest neighbour; then the same over edges between what these connect.
+
+    In graphs with many more edges than nodes, two connect almost all, and the other edges are read once.
+    """
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ends = both.groupBy("a").agg(F.min("b").alias("l"), F.max("b").alias("g"))
+    roots = _alternate(ends.select("a", F.explode(F.array("l", "g")).alias("b")))
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    moved = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    rest = cut(moved.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if rest.isEmpty():
+        return roots
+    more = _sparse(rest)
+    up = more.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return cut(roots.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(more))
+
+
+def stars(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """edges(a, b) to (node, root): each node that isn't the least of its component, with the least. ids(id), if known, holds every node.
+
+    Rounds go over hashes of 64 bits instead of texts; should two nodes share one, over the nodes themselves.
+    """
+    edges = edges.where("a <> b").select("a", "b")
+    if ids is None:
+        edges = cut(edges)
+        ids = edges.select(F.explode(F.array("a", "b")).alias("id"))
+    names = cut(ids.select("id", F.xxhash64("id").alias("h")).distinct())
+    code = F.xxhash64 if names.groupBy("h").count().where("count > 1").isEmpty() else F.col
+    roots = _sparse(cut(edges.select(code("a").alias("a"), code("b").alias("b"))))
+    groups = cut(names.select("id", code("id").alias("node")).join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root")))
+    least = groups.groupBy("root").agg(F.min("id").alias("least"))
+    return groups.join(least, "root").where("id <> least").select(F.col("id").alias("node"), F.col("least").alias("root"))
+
+
 def connected(g: PropertyGraph) -> DataFrame:
     """(id, component): the smallest id that can be reached, direction aside; isolated vertices are their own."""
-    roots = stars(g.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    return g.vertices.select("id").join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("component"))
+    ids = cut(g.vertices.select("id"))
+    roots = stars(g.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), ids)
+    return ids.join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
 def is_connected(g: PropertyGraph) -> DataFrame:

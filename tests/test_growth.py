@@ -4,7 +4,7 @@ import random
 from itertools import combinations
 
 from graphloom.model import PropertyGraph
-from graphloom.operators import adjacency, structure
+from graphloom.operators import adjacency, components, structure
 
 
 def graph(spark, edges, vertices=()):
@@ -55,3 +55,21 @@ def test_layers_of_random_graphs(spark):
         assert {x["id"]: x["level"] for x in structure.topological(g, "IN").collect()} == {str(k): x for k, x in back.items()}
     assert structure.topological(graph(spark, [(0, 1)]), "BOTH") is None and structure.topological(graph(spark, [], [7])).collect()[0]["level"] == 0
     assert structure.topological(PropertyGraph.empty(spark)).collect() == []
+
+
+def test_components_read_dense_graphs_once(spark, monkeypatch):
+    r = random.Random(7)
+    rows = []
+    least = components._least
+    monkeypatch.setattr(components, "_least", lambda e: rows.append(e.count()) or least(e))
+    edges = [(f"a{x}", f"a{y}") for x, y in combinations(range(30), 2)] + [("b1", "b2"), ("b2", "b2"), ("a29", "b9"), ("b9", "c0")] + [(f"c{k}", f"c{k + 1}") for k in range(9)]
+    found = {x["id"]: x["component"] for x in components.connected(graph(spark, edges, ["d"])).collect()}
+    assert found == {v: "b1" if v in ("b1", "b2") else "d" if v == "d" else "a0" for v in found} and len(found) == 44
+    assert max(rows) < 250  # both ways, of 448 edges
+    monkeypatch.undo()
+    edges = [(str(r.randrange(30)), str(r.randrange(30))) for _ in range(22)]
+    parts = {str(k): str(k) for k in range(30)}
+    for _ in range(30):
+        for a, b in edges:
+            parts[a] = parts[b] = min(parts[a], parts[b])
+    assert {x["id"]: x["component"] for x in components.connected(graph(spark, edges, range(30))).collect()} == parts
