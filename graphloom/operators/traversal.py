@@ -18,9 +18,12 @@ LEVELS = 16
 def levels(g: PropertyGraph, start: DataFrame, direction: Direction | str = Direction.BOTH, *labels: str, depth: int | None = None, until: str | None = None) -> DataFrame:
     """(id, depth, parent) of what can be reached from start(id): the fewest steps, and the smallest id one step before.
 
-    Stops at `depth`, or with the level that holds `until`.
+    Stops at `depth`, or with the level that holds `until`. Edges are kept as they are, once, as no task can hold a grouping of all of them:
+    parallel ones make no difference to the least source.
     """
-    edges = cut(walks(g.edges, direction, *labels).where("source <> target").select("source", "target").distinct())
+    one = cut(walks(g.edges, Direction.OUT, *labels).where("source <> target").select("source", "target"))
+    back, direction = one.select(F.col("target").alias("source"), F.col("source").alias("target")), Direction.of(direction)
+    edges = one if direction is Direction.OUT else back if direction is Direction.IN else one.unionByName(back)
     first = cut(start.select("id").distinct().join(g.vertices.select("id"), "id", "left_semi").select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")))
 
     def step(state: tuple, k: int) -> tuple[tuple, bool]:

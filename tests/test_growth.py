@@ -4,7 +4,7 @@ import random
 from itertools import combinations
 
 from graphloom.model import PropertyGraph
-from graphloom.operators import adjacency, components, structure
+from graphloom.operators import adjacency, components, structure, traversal
 
 
 def graph(spark, edges, vertices=()):
@@ -73,3 +73,13 @@ def test_components_read_dense_graphs_once(spark, monkeypatch):
         for a, b in edges:
             parts[a] = parts[b] = min(parts[a], parts[b])
     assert {x["id"]: x["component"] for x in components.connected(graph(spark, edges, range(30))).collect()} == parts
+
+
+def test_levels_do_not_group_all_edges(spark, monkeypatch):
+    plans = []
+    cut = traversal.cut
+    monkeypatch.setattr(traversal, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    g = graph(spark, [(1, 2), (1, 2), (2, 1), (3, 1), (3, 3), (3, 4)], [5])
+    found = lambda d: sorted((x["id"], x["depth"], x["parent"]) for x in traversal.levels(g, g.vertices.where("id = '1'"), d).collect())
+    assert found("BOTH") == [("1", 0, None), ("2", 1, "1"), ("3", 1, "1"), ("4", 2, "3")] and "Aggregate" not in plans[0]
+    assert found("OUT") == [("1", 0, None), ("2", 1, "1")] and found("in") == [("1", 0, None), ("2", 1, "1"), ("3", 1, "1")]
